@@ -5,9 +5,10 @@
 2. Signatures are cut into bands. In each bucket of equal bands every member is compared with the bucket's smallest
    member: first the signatures, then the full sets. Confirmed links give components, by alternating large-star and
    small-star steps.
-3. What such stars can miss are links between members of a bucket that are still in different components: those pairs,
-   and only those, are compared in a second pass. A large group of near copies is one component by then, so it gives no
-   pairs.
+3. What such stars can miss are links between members of a bucket that are still in different components. In a second
+   pass, small buckets give those pairs and only those; large ones are compared in blocks of ``BLOCK`` documents, where
+   one matrix product counts the common shingles of all pairs of two blocks and only the links of a spanning forest come
+   out. So no pairs of a group are emitted, and no task holds more than two blocks.
 
 Bands of 3 rows, 24 of them, miss a pair at 0.75 once in 500 000; every pair above is missed less often. Signatures
 that agree in fewer than ``LEAST_EQUAL`` places are dropped before the full comparison (at 0.75: five standard
@@ -38,6 +39,11 @@ BANDS = 24
 ROWS = 3
 HASHES = BANDS * ROWS
 LEAST_EQUAL = 36
+#: Bits of the filter on wanted documents: 16 for each, within these bounds (8 MB at most).
+FILTER_BITS = 1 << 18, 1 << 26
+#: Buckets of more members than this are compared in blocks.
+SMALL_BUCKET = 32
+BLOCK = 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _DRAW = np.random.Generator(np.random.PCG64(20240607))
@@ -89,17 +95,32 @@ def signatures(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the full set."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and the full set, once for each of the ``wanted`` doc_ids.
+
+    A bitmap of hashed wanted ids, bounded by ``FILTER_BITS`` at any size of input, spares most other texts; the join
+    after it leaves exactly the wanted ones. So no text is shuffled.
+    """
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    parts = wanted.select(bit.alias("bit")).groupBy((F.col("bit") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    bitmap = np.zeros(size // 8, np.uint8)
+    for part, bits in parts.collect():
+        bitmap[part * 4096 : part * 4096 + len(bits)] = np.frombuffer(bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
         for batch in batches:
+            bits = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((bitmap[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)))
             sets = [shingles(text).view(np.int64) for text in batch.column(1).to_pylist()]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "members"])
 
-    return docs.mapInArrow(run, "doc_id long, members array<long>")
+    maybe = id_and_text(docs).where("doc_id IS NOT NULL").withColumn("bit", bit).mapInArrow(run, "doc_id long, members array<long>")
+    return cut(maybe.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -107,8 +128,8 @@ def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame
     left, right = signed.select(F.col("doc_id").alias("u"), F.col("sig").alias("su")), signed.select(F.col("doc_id").alias("v"), F.col("sig").alias("sv"))
     equal = F.aggregate(F.zip_with("su", "sv", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
     likely = cut(pairs.join(left, "u").join(right, "v").where(equal >= LEAST_EQUAL).select("u", "v"))
-    wanted = likely.select(F.col("u").alias("doc_id")).union(likely.select("v")).distinct()
-    sets = cut(shingle_sets(id_and_text(docs).join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    wanted = cut(likely.select(F.col("u").alias("doc_id")).union(likely.select("v")).distinct())
+    sets = shingle_sets(docs, wanted)
     left, right = sets.select(F.col("doc_id").alias("u"), F.col("members").alias("mu")), sets.select(F.col("doc_id").alias("v"), F.col("members").alias("mv"))
     both = F.size(F.array_intersect("mu", "mv"))
     close = 100 * both >= PERCENT * (F.size("mu") + F.size("mv") - both)
@@ -146,6 +167,89 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
+def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles each two of these sets have in common."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[word] > 1
+    owner, word = owner[shared], word[shared]
+    order = np.argsort(word, kind="stable")
+    owner, word = owner[order], word[order]
+    column = np.cumsum(np.diff(word, prepend=-1) > 0) - 1 if len(word) else word
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [lo, lo + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        out += (part @ part.T).astype(np.int64)
+    return out
+
+
+def block_links(blocks: DataFrame) -> DataFrame:
+    """Links between components inside pairs of blocks; rows (key, i, j, block, v, c, members) come in order of (key, i, j)."""
+
+    def links(group: list[tuple]) -> list[tuple[int, int]]:
+        sets = [np.asarray(x[6], np.int64) for x in group]
+        sizes = np.array([len(x) for x in sets])
+        both = common_counts(sets)
+        close = 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+        side, c = np.array([x[3] for x in group]), np.array([x[5] for x in group])
+        if group[0][1] != group[0][2]:
+            close &= side[:, None] != side[None, :]
+        out = []
+        for a in range(len(group)):
+            others = np.flatnonzero(close[a] & (c != c[a]))
+            if len(others):
+                labels, first = np.unique(c[others], return_index=True)
+                out += [(group[a][4], group[b][4]) for b in others[first].tolist()]
+                c[np.isin(c, labels)] = c[a]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+
+        def emit() -> pa.RecordBatch:
+            found = links(group)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            plain = [c.to_pylist() for c in batch.columns[:6]]
+            for k, row in enumerate(zip(*plain, strict=True)):
+                if group and row[:3] != group[0][:3]:
+                    yield emit()
+                    group = []
+                group.append((*row, batch.column(6)[k].values.to_numpy(zero_copy_only=False)))
+        if group:
+            yield emit()
+
+    return blocks.mapInArrow(run, "u long, v long")
+
+
+def second_pass(members: DataFrame, found: DataFrame, tried: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links between members of a bucket that are in different components after the first pass."""
+    inside = members.where("size > 2").join(found, members["v"] == found["node"], "left").select("key", "u", "v", "size", F.coalesce("component", "v").alias("c"))
+    split = inside.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key")
+    # All but the bucket's smallest member, which has been compared with all others.
+    open_ = cut(inside.where("v > u").join(split, "key"))
+    small, large = open_.where(F.col("size") <= SMALL_BUCKET), open_.where(F.col("size") > SMALL_BUCKET)
+    one, two = small.select("key", "v", "c"), small.select("key", F.col("v").alias("w"), F.col("c").alias("d"))
+    pairs = one.join(two, (one["key"] == two["key"]) & (one["v"] < two["w"]) & (one["c"] != two["d"])).select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
+    pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
+    out = None if pairs.isEmpty() else confirmed(pairs, reps, docs)
+    if not large.isEmpty():
+        count = F.ceil(F.col("size") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("v"), count).cast("int")
+        spread = large.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+        spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "v", "c")
+        wanted = cut(large.select(F.col("v").alias("doc_id")).distinct())
+        sets = shingle_sets(docs, wanted)
+        rows = spread.join(sets, spread["v"] == sets["doc_id"]).select("key", "i", "j", "block", "v", "c", "members")
+        more = cut(block_links(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")).distinct())
+        out = more if out is None else out.union(more)
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (it is that document)."""
     signed = cut(signatures(docs))
@@ -162,16 +266,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = cut(members.where("v > u").select("u", "v").distinct())
     links = confirmed(tried, reps, docs)
     found = components(links)
-    inside = members.where("size > 2").join(found, members["v"] == found["node"], "left").select("key", "u", "v", F.coalesce("component", "v").alias("c"))
-    split = inside.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key")
-    open_ = cut(inside.join(split, "key"))
-    one, two = open_.where("v > u").select("key", "v", "c"), open_.where("v > u").select("key", F.col("v").alias("w"), F.col("c").alias("d"))
-    rest = one.join(two, (one["key"] == two["key"]) & (one["v"] < two["w"]) & (one["c"] != two["d"])).select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
-    rest = cut(rest.join(tried, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        more = confirmed(rest, reps, docs)
-        if not more.isEmpty():
-            found = components(links.union(more))
+    more = second_pass(members, found, tried, reps, docs)
+    if more is not None and not more.isEmpty():
+        found = components(links.union(more))
     found = cut(found)
     of_copies = copies.join(found, copies["rep"] == found["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     moved = of_copies.union(found).distinct()

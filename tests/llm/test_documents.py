@@ -1,10 +1,12 @@
 """Operators on documents against brute force, on the small tables and on odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from edgewise.llm import bpe, chunks, neardup, packing, quality, queries, tokenfiles, toxicity
@@ -237,6 +239,28 @@ def test_near_duplicate_chains(spark):
     check_near(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Large buckets in several blocks: near copies of one text that are unlike the bucket's smallest member."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    draw = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for d in range(90):
+        words = list(base)
+        for _ in range(draw.choice([2, 4, 6, 8])):
+            words[draw.randrange(150)] = f"x{d}{draw.random()}"
+        rows.append((d, " ".join(words)))
+    check_near(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_common_counts():
+    draw = random.Random(6)
+    sets = [np.unique([draw.randrange(60) for _ in range(n)]) for n in (0, 1, 20, 40, 50, 50)]
+    got = neardup.common_counts(sets, columns=7)
+    assert all(got[a, b] == len(set(sets[a].tolist()) & set(sets[b].tolist())) for a in range(6) for b in range(6) if a != b)
+
+
 def test_components_by_stars(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (200, 201)]
     found = {r["node"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
