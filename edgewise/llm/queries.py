@@ -5,14 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, neardup, packing, quality, tokenfiles, toxicity
+from . import bpe, chat, fingerprints, licenses, neardup, packing, quality, tokenfiles, toxicity, urls
 from .common import table
 
 #: Where the public vocabulary files are.
 TOKENIZERS = "/opt/tokenizers"
 
 
+#: What both messages of the added conversation say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    done = chat.format_paths(chat.conversation_tree(rows.union(added)))
+    turns = chat.read_back(F.col("formatted"))
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    done = done.select("*", turns.alias("turns"), said.alias("said"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss_text"))
+    return done.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2("said", 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+CHAT_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'
+), escaped AS (
+  SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lb;') AS body,
+    replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'), chr(10), '&nl;') AS head
+  FROM rows
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+    sum(length(head) + length(body) + 8)::BIGINT AS formatted_chars
+  FROM escaped GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM joined
+"""
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +87,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op3_bpe, op6_token_files, op7_near_duplicates, op9_packing, op10_quality)
+    f.__name__: f for f in (op1_chat, op2_toxicity, op3_bpe, op4_licenses, op5_urls, op6_token_files, op7_near_duplicates, op8_fingerprints, op9_packing, op10_quality)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_chat": CHAT_SQL, "op4_licenses": licenses.oracle()}
