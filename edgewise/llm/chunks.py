@@ -20,7 +20,7 @@ INNER_SPACE = re.compile(r"[ \t\r\x0b\x0c]|(?<!^)\n", re.ASCII)
 #: Begins the key of a chunk that has no white space before it.
 BARE = "\x00"
 #: Distinct chunks that one worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 
 
 def spaced(text: str) -> list[str] | None:
@@ -115,15 +115,20 @@ def byte_symbols() -> list[str]:
 def _library_cache(path: str, cut: Callable, unsafe: Callable, as_text: Callable, fold: Callable, ends: str | bytes, bare: str | bytes) -> ChunkCache:
     tokenizer = library(path)
     tokenize, symbols = tokenizer.model.tokenize, byte_symbols()
+    blank = symbols[32]
 
     def whole(text: str) -> bytes:
         return packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode_one(chunk: str | bytes) -> bytes:
         text = as_text(chunk)
-        word = text[1:] if text[:1] == " " else text
+        word = text[1:] if text[0] == " " else text
         # A word of plain Latin letters is one piece, so it goes to the merges without the rules for cutting and folding.
-        if word.isalpha() and (word.isascii() or max(word) < "\u0130"):
+        if not word.isalpha():
+            return whole(text)
+        if word.isascii():
+            return packed([t.id for t in tokenize(word if word is text else blank + word)])
+        if max(word) < "\u0130":
             return packed([t.id for t in tokenize("".join([symbols[b] for b in fold(text).encode()]))])
         return whole(text)
 
@@ -135,7 +140,12 @@ def special_strings(path: str) -> list[str]:
 
 
 def unsafe_chunk(specials: list[str]) -> Callable[[str], bool]:
-    return lambda chunk: INNER_SPACE.search(chunk) is not None or OTHER_SPACE.search(chunk) is not None or "|" in chunk and any(s in chunk for s in specials)
+    def unsafe(chunk: str) -> bool:
+        if not chunk.isprintable() and (INNER_SPACE.search(chunk) or OTHER_SPACE.search(chunk)):
+            return True
+        return "|" in chunk and any(s in chunk for s in specials)
+
+    return unsafe
 
 
 @functools.cache

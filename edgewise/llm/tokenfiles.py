@@ -45,35 +45,42 @@ def _replace(seq: np.ndarray, last: np.ndarray, first_new: int, room: int) -> tu
     none = np.zeros((0, 2), np.uint32)
     if len(seq) < 2 or room < 1:
         return seq, last, none
-    bins = ((seq[:-1] * np.uint32(2654435761)) ^ (seq[1:] * np.uint32(2246822519))) >> np.uint32(32 - _BINS)
+    pairs = seq[:-1].astype(np.uint32)
+    pairs <<= np.uint32(16)
+    pairs |= seq[1:]
+    bins = pairs * np.uint32(2654435761)
+    bins >>= np.uint32(32 - _BINS)
     bins[last[:-1]] = 0
     counts = np.bincount(bins, minlength=1 << _BINS)
     counts[0] = 0
     often = np.partition(counts, -4096)[-4096]
-    at = np.flatnonzero((counts >= max(LEAST_COUNT, often))[bins] & ~last[:-1])
-    if not len(at):
-        return seq, last, none
-    pairs = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-    keys, which, times = np.unique(pairs, return_inverse=True, return_counts=True)
-    chosen = np.flatnonzero(times >= LEAST_COUNT)
-    chosen = chosen[np.argsort(-times[chosen], kind="stable")[:room]]
-    good = np.zeros(len(keys), bool)
-    good[chosen] = True
-    keep = good[which]
-    at, which = at[keep], which[keep]
+    seen = np.sort(pairs[(counts >= max(LEAST_COUNT, often))[bins]])
+    edges = np.flatnonzero(np.diff(seen, prepend=seen[:1] ^ 1, append=~seen[-1:]))
+    keys, times = seen[edges[:-1]], np.diff(edges)
+    keys, times = keys[times >= LEAST_COUNT], times[times >= LEAST_COUNT]
+    order = np.argsort(times, kind="stable")[-room:]
+    keys = keys[order]
+    # Of pairs that share a bin the most frequent one is taken in this round.
+    owner = np.full(1 << _BINS, -1, np.int32)
+    owner[keys * np.uint32(2654435761) >> np.uint32(32 - _BINS)] = np.arange(len(keys), dtype=np.int32)
+    owner[0] = -1
+    which = owner[bins]
+    at = np.flatnonzero(which >= 0)
+    at = at[keys[which[at]] == pairs[at]] if len(at) else at
     if not len(at):
         return seq, last, none
     # Of pairs that overlap, every second one, from the left.
     begins = np.flatnonzero(np.diff(at, prepend=at[0] - 2) > 1)
     run = np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))
-    at, which = at[run % 2 == 0], which[run % 2 == 0]
+    at = at[run % 2 == 0]
+    which = which[at]
     used = np.bincount(which, minlength=len(keys)) >= 2
     keep = used[which]
     at, which = at[keep], which[keep]
-    number = np.cumsum(used) - 1
-    rules = np.stack([(keys[used] >> np.uint64(32)).astype(np.uint32), keys[used].astype(np.uint32)], 1)
+    number = (first_new + np.cumsum(used) - 1).astype(np.uint16)
+    rules = np.stack([keys[used] >> np.uint32(16), keys[used] & np.uint32(0xFFFF)], 1)
     seq = seq.copy()
-    seq[at] = (first_new + number[which]).astype(np.uint32)
+    seq[at] = number[which]
     last = last.copy()
     last[at] = last[at + 1]
     left = np.ones(len(seq), bool)
@@ -83,7 +90,9 @@ def _replace(seq: np.ndarray, last: np.ndarray, first_new: int, room: int) -> tu
 
 def compress(documents: list[bytes], ids: int) -> bytes:
     """A shard's blob from its documents' ids (little-endian unsigned 32-bit integers); ``ids`` bounds them."""
-    seq = np.frombuffer(b"".join(documents), "<u4").astype(np.uint32)
+    if ids > SYMBOLS:
+        raise ValueError(f"symbols of two bytes can't hold {ids} ids")
+    seq = np.frombuffer(b"".join(documents), "<u4").astype(np.uint16)
     tokens = np.array([len(d) // 4 for d in documents], np.int64)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(tokens)[tokens > 0] - 1] = True
