@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise.functions.session import checkpoint_dir
@@ -175,11 +175,11 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str) -> None:
         part, shard = TaskContext.get().partitionId(), 0
         doc_ids: list[int] = []
         encoded: list[bytes] = []
-        held = 0
+        held = before = 0
 
         def flush() -> pa.RecordBatch:
-            arrays = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([held], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([compress(encoded, size)], pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=["part", "shard", "tokens", "doc_ids", "blob"])
+            arrays = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([compress(encoded, size)], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["part", "shard", "before", "tokens", "doc_ids", "blob"])
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), cache.encode(batch.column(1).to_pylist()), strict=True):
@@ -188,18 +188,18 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str) -> None:
                 held += len(ids) // 4 + 1
                 if held >= SHARD_TOKENS:
                     yield flush()
-                    shard, doc_ids, encoded, held = shard + 1, [], [], 0
+                    shard, before, doc_ids, encoded, held = shard + 1, before + held, [], [], 0
         if encoded:
             yield flush()
 
     ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part int, shard int, tokens long, doc_ids array<long>, blob binary").write.parquet(folder)
+    ordered.mapInArrow(run, "part int, shard int, before long, tokens long, doc_ids array<long>, blob binary").write.parquet(folder)
 
 
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and with ``with_ids`` the ids.
 
-    Only one total per partition of the writer goes through the driver.
+    A shard knows the ids before it in its partition; only one total per partition of the writer goes through the driver.
     """
     shards = spark.read.parquet(folder)
     totals = sorted(tuple(r) for r in shards.groupBy("part").agg(F.sum("tokens")).collect())
@@ -208,10 +208,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
         rows.append((part, before))
         before += tokens
     offsets = spark.createDataFrame(rows or [(-1, 0)], "part int, part_start long")
-    earlier = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "shard", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("within"))
-    starts = starts.join(F.broadcast(offsets), "part").select("part", "shard", (F.col("within") + F.col("part_start")).alias("start"))
-    placed = shards.join(starts, ["part", "shard"]).select("start", "doc_ids", "blob")
+    placed = shards.join(F.broadcast(offsets), "part").select((F.col("before") + F.col("part_start")).alias("start"), "doc_ids", "blob")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
