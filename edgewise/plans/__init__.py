@@ -1 +1 @@
-"""Part of the edgewise engine."""
+"""Statistics, histograms, run logs and the whole benchmark run."""
