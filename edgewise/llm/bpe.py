@@ -48,7 +48,7 @@ class ByteBpe:
         self.pattern = regex.compile(PATTERN)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces: dict[bytes, bytes] = {}
-        self.cache = ChunkCache(spaced, lambda keys: self._encode_chunks(list(map(chunk_of, keys))), unsafe_chunk(list(self.special)), self._encode_whole, ".,", BARE)
+        self.cache = ChunkCache(spaced, lambda keys: self._encode_chunks(list(map(chunk_of, keys))), unsafe_chunk(list(self.special)), self._encode_whole, ".,", BARE, 300_000)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; _NONE where a pair does not merge."""

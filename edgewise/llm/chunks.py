@@ -19,8 +19,9 @@ OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u202
 INNER_SPACE = re.compile(r"[ \t\r\x0b\x0c]|(?<!^)\n", re.ASCII)
 #: Begins the key of a chunk that has no white space before it.
 BARE = "\x00"
-#: Distinct chunks that one worker remembers; beyond that it starts anew.
-REMEMBERED = 1_500_000
+#: Distinct chunks that one worker remembers: a new generation begins after so many, and the one before stays for
+#: chunks that come again. About 230 bytes each.
+REMEMBERED_BYTES, REMEMBERED_WORDS = 750_000, 150_000
 
 
 def spaced(text: str) -> list[str] | None:
@@ -46,17 +47,21 @@ class ChunkCache:
     without such an end.
     """
 
-    def __init__(self, cut: Callable, encode_many: Callable[[list], list[bytes]], unsafe: Callable[[object], bool], whole: Callable[[str], bytes], ends: str | bytes, bare: str | bytes):
-        self.cut, self.encode_many, self.unsafe, self.whole, self.ends, self.bare = cut, encode_many, unsafe, whole, ends, bare
+    def __init__(self, cut: Callable, encode_many: Callable[[list], list[bytes]], unsafe: Callable[[object], bool], whole: Callable[[str], bytes], ends: str | bytes, bare: str | bytes, remembered: int):
+        self.cut, self.encode_many, self.unsafe, self.whole, self.ends, self.bare, self.remembered = cut, encode_many, unsafe, whole, ends, bare, remembered
         self.known: dict = {}
+        self.old: dict = {}
         self.parts: dict = {}
 
     def _learn(self, new: list) -> None:
-        known, parts, ends = self.known, self.parts, self.ends
-        if len(parts) > REMEMBERED:
+        known, old, parts, ends = self.known, self.old, self.parts, self.ends
+        if len(parts) > self.remembered:
             parts.clear()
         split, wanted = [], set()
         for chunk in new:
+            if chunk in old:
+                known[chunk] = old[chunk]
+                continue
             if self.unsafe(chunk):
                 known[chunk] = None
                 continue
@@ -75,10 +80,11 @@ class ChunkCache:
             known[chunk] = parts[base] + parts[tail] if tail else parts[base]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, out = self.known, []
+        out = []
         for lo in range(0, len(texts), 256):
+            if len(self.known) > self.remembered:
+                self.old, self.known = self.known, {}
+            known = self.known
             cuts = [self.cut(text) for text in texts[lo : lo + 256]]
             self._learn(list(set().union(*filter(None, cuts)).difference(known)))
             for text, chunks in zip(texts[lo : lo + 256], cuts, strict=True):
@@ -112,7 +118,7 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
-def _library_cache(path: str, cut: Callable, unsafe: Callable, as_text: Callable, fold: Callable, ends: str | bytes, bare: str | bytes) -> ChunkCache:
+def _library_cache(path: str, cut: Callable, unsafe: Callable, as_text: Callable, fold: Callable, ends: str | bytes, bare: str | bytes, remembered: int) -> ChunkCache:
     tokenizer = library(path)
     tokenize, symbols = tokenizer.model.tokenize, byte_symbols()
     blank = symbols[32]
@@ -132,7 +138,7 @@ def _library_cache(path: str, cut: Callable, unsafe: Callable, as_text: Callable
             return packed([t.id for t in tokenize("".join([symbols[b] for b in fold(text).encode()]))])
         return whole(text)
 
-    return ChunkCache(cut, lambda chunks: list(map(encode_one, chunks)), unsafe, whole, ends, bare)
+    return ChunkCache(cut, lambda chunks: list(map(encode_one, chunks)), unsafe, whole, ends, bare, remembered)
 
 
 def special_strings(path: str) -> list[str]:
@@ -151,11 +157,11 @@ def unsafe_chunk(specials: list[str]) -> Callable[[str], bool]:
 @functools.cache
 def byte_level_cache(path: str) -> ChunkCache:
     """For byte-level vocabularies, where white space belongs to the tokens."""
-    return _library_cache(path, spaced, unsafe_chunk(special_strings(path)), chunk_of, str, ".,", BARE)
+    return _library_cache(path, spaced, unsafe_chunk(special_strings(path)), chunk_of, str, ".,", BARE, REMEMBERED_BYTES)
 
 
 @functools.cache
 def word_level_cache(path: str) -> ChunkCache:
     """For vocabularies that drop white space: words between ASCII white space, as UTF-8, A-Z as a-z."""
     specials = [s.encode() for s in special_strings(path)]
-    return _library_cache(path, lambda text: text.encode().lower().split(), lambda chunk: b"|" in chunk and any(s in chunk for s in specials), bytes.decode, str.lower, b".,", b"")
+    return _library_cache(path, lambda text: text.encode().lower().split(), lambda chunk: b"|" in chunk and any(s in chunk for s in specials), bytes.decode, str.lower, b".,", b"", REMEMBERED_WORDS)

@@ -43,7 +43,7 @@ LEAST_EQUAL = 36
 FILTER_BITS = 1 << 18, 1 << 26
 #: Buckets of more members than this are compared in blocks.
 SMALL_BUCKET = 32
-BLOCK = 512
+BLOCK = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _DRAW = np.random.Generator(np.random.PCG64(20240607))
@@ -177,12 +177,12 @@ def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     order = np.argsort(word, kind="stable")
     owner, word = owner[order], word[order]
     column = np.cumsum(np.diff(word, prepend=-1) > 0) - 1 if len(word) else word
-    out = np.zeros((len(sets), len(sets)), np.int64)
+    out = np.zeros((len(sets), len(sets)), np.int32)
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
         a, b = np.searchsorted(column, [lo, lo + columns])
         part = np.zeros((len(sets), columns), np.float32)
         part[owner[a:b], column[a:b] - lo] = 1
-        out += (part @ part.T).astype(np.int64)
+        out += (part @ part.T).astype(np.int32)
     return out
 
 
@@ -193,7 +193,8 @@ def block_links(blocks: DataFrame) -> DataFrame:
         sets = [np.asarray(x[6], np.int64) for x in group]
         sizes = np.array([len(x) for x in sets])
         both = common_counts(sets)
-        close = 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+        # Row by row: a whole matrix of wider integers would take several times the space.
+        close = np.stack([100 * row.astype(np.int64) >= PERCENT * (n + sizes - row) for n, row in zip(sizes, both, strict=True)])
         side, c = np.array([x[3] for x in group]), np.array([x[5] for x in group])
         if group[0][1] != group[0][2]:
             close &= side[:, None] != side[None, :]
@@ -229,18 +230,22 @@ def block_links(blocks: DataFrame) -> DataFrame:
 def second_pass(members: DataFrame, found: DataFrame, tried: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Links between members of a bucket that are in different components after the first pass."""
     inside = members.where("size > 2").join(found, members["v"] == found["node"], "left").select("key", "u", "v", "size", F.coalesce("component", "v").alias("c"))
-    split = inside.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key")
-    # All but the bucket's smallest member, which has been compared with all others.
-    open_ = cut(inside.where("v > u").join(split, "key"))
+    # All but the bucket's smallest member, which has been compared with all others; ``main`` is the largest component.
+    inside = inside.where("v > u")
+    sizes = inside.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    sizes = sizes.select("key", F.col("top.c").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_rest"))
+    open_ = cut(inside.join(sizes, "key"))
     small, large = open_.where(F.col("size") <= SMALL_BUCKET), open_.where(F.col("size") > SMALL_BUCKET)
     one, two = small.select("key", "v", "c"), small.select("key", F.col("v").alias("w"), F.col("c").alias("d"))
     pairs = one.join(two, (one["key"] == two["key"]) & (one["v"] < two["w"]) & (one["c"] != two["d"])).select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
     pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
     out = None if pairs.isEmpty() else confirmed(pairs, reps, docs)
     if not large.isEmpty():
-        count = F.ceil(F.col("size") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("v"), count).cast("int")
-        spread = large.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+        # Members of the main component meet the blocks of the rest only, those of the rest meet all blocks.
+        rest, main = F.ceil(F.col("n_rest") / BLOCK).cast("int"), F.ceil(F.col("n_main") / BLOCK).cast("int")
+        in_main = F.col("c") == F.col("main")
+        block = F.when(in_main, rest + F.pmod(F.xxhash64("v"), main)).otherwise(F.pmod(F.xxhash64("v"), rest)).cast("int")
+        spread = large.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_main, rest).otherwise(rest + main) - 1)))
         spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "v", "c")
         wanted = cut(large.select(F.col("v").alias("doc_id")).distinct())
         sets = shingle_sets(docs, wanted)

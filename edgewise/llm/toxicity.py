@@ -197,7 +197,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         return ToxicityModel(fixed, {}, 1.0, -DEFAULT_WEIGHT / 2)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Few rows at a time: a text has several entries for each of its words.
+        for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
             bad, good = Counter(), Counter()
             for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 (bad if label == 1 else good).update(entries_of(text))
