@@ -52,25 +52,26 @@ def chosen_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     # A null-safe tree key: conversations without an id are one tree.
     same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n"))
     jump = cut(nodes.join(known, same, "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("steps")))
-    rounds, open_before = [], None
-    while True:
-        rounds.append(jump.select("tree", "node", "up").where("up IS NOT NULL"))
-        still_open = rounds[-1].count()
-        if not still_open or (open_before == still_open and 1 << len(rounds) > jump.count()):
-            break
-        open_before = still_open
-        next_ = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("steps").alias("d2"))
+    total = jump.count()
+    # Nodes that have reached their root are done; only the others are joined again.
+    done, open_ = cut(jump.where("up IS NULL")), cut(jump.where("up IS NOT NULL"))
+    rounds, left, before = [], open_.count(), -1
+    while left and not (left == before and 1 << len(rounds) > total):
+        rounds.append(open_.select("tree", "node", "up"))
+        above = done.union(open_).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("steps").alias("d2"))
         met = F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))
-        jump = cut(jump.join(next_, met, "left").select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("d2", F.lit(0))).alias("steps")))
+        jump = cut(open_.join(above, met).select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("steps") + F.col("d2")).alias("steps")))
+        done, open_ = done.union(cut(jump.where("up IS NULL"))), cut(jump.where("up IS NOT NULL"))
+        left, before = open_.count(), left
     parents = nodes.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("n")).distinct()
-    leaves = jump.where("up IS NULL").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+    leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
-    path = leaves.withColumn("rank", rank).where(F.col("rank") <= best).select("tree", F.col("node").alias("leaf"), "rank", "node", (F.col("steps") - 1).alias("position"))
+    path = cut(leaves.withColumn("rank", rank).where(F.col("rank") <= best).select("tree", F.col("node").alias("leaf"), "rank", "node", (F.col("steps") - 1).alias("position")))
     for k, step in enumerate(rounds):
         step = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         above = path.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
-        path = path.union(above.select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("position") - (1 << k)).alias("position")))
-        path = cut(path) if k % 3 == 2 else path
+        # Only checkpointed parts are united, so plans stay small.
+        path = path.union(cut(above.select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("position") - (1 << k)).alias("position"))))
     return path
 
 
