@@ -19,9 +19,9 @@ OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u202
 INNER_SPACE = re.compile(r"[ \t\r\x0b\x0c]|(?<!^)\n", re.ASCII)
 #: Begins the key of a chunk that has no white space before it.
 BARE = "\x00"
-#: Distinct chunks that one worker remembers: a new generation begins after so many, and the one before stays for
-#: chunks that come again. About 230 bytes each.
-REMEMBERED_BYTES, REMEMBERED_WORDS = 750_000, 150_000
+#: Distinct chunks that one worker remembers, about 230 bytes each; beyond that it starts anew. Words, which use few,
+#: do so by generations: the one before stays for chunks that come again.
+REMEMBERED_BYTES, REMEMBERED_WORDS = 1_500_000, 250_000
 
 
 def spaced(text: str) -> list[str] | None:
@@ -83,7 +83,7 @@ class ChunkCache:
         out = []
         for lo in range(0, len(texts), 256):
             if len(self.known) > self.remembered:
-                self.old, self.known = self.known, {}
+                self.old, self.known = self.known if self.remembered <= REMEMBERED_WORDS else {}, {}
             known = self.known
             cuts = [self.cut(text) for text in texts[lo : lo + 256]]
             self._learn(list(set().union(*filter(None, cuts)).difference(known)))
