@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .chunks import BARE, ChunkCache, byte_symbols, chunk_of, spaced, unsafe_chunk
+from .chunks import BARE, ENDS, ChunkCache, byte_symbols, chunk_of, spaced, unsafe_chunk
 from .common import id_and_text
 
 #: Fixed value: how byte-level vocabularies of this kind split a text.
@@ -48,7 +48,7 @@ class ByteBpe:
         self.pattern = regex.compile(PATTERN)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces: dict[bytes, bytes] = {}
-        self.cache = ChunkCache(spaced, lambda keys: self._encode_chunks(list(map(chunk_of, keys))), unsafe_chunk(list(self.special)), self._encode_whole, ".,", BARE, 250_000)
+        self.cache = ChunkCache(spaced, lambda keys: self._encode_chunks(list(map(chunk_of, keys))), unsafe_chunk(list(self.special)), self._encode_whole, ENDS, BARE, 250_000)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; _NONE where a pair does not merge."""

@@ -11,12 +11,17 @@ import array
 import functools
 import os
 import re
+import string
 import sys
 from collections.abc import Callable
 
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: White space inside a chunk, but for the one line feed that it may begin with.
 INNER_SPACE = re.compile(r"[ \t\r\x0b\x0c]|(?<!^)\n", re.ASCII)
+#: What may end a chunk and is split from the letters before it: ASCII punctuation but for the apostrophe, which begins contractions.
+ENDS = string.punctuation.replace("'", "")
+#: Up to here letters are Latin ones without doubt, in every version of the character tables.
+LAST_LETTER = "\u012f"
 #: Begins the key of a chunk that has no white space before it.
 BARE = "\x00"
 #: Distinct chunks that one worker remembers, about 230 bytes each; beyond that it starts anew. Words, which use few,
@@ -43,12 +48,13 @@ def chunk_of(key: str) -> str:
 class ChunkCache:
     """Texts to ids (bytes of little-endian unsigned 32-bit integers), by chunks.
 
-    A new chunk that ends in full stops or commas after an ASCII letter splits there, so words share their ids with or
-    without such an end.
+    A new chunk that ends in punctuation after a plain Latin letter splits there, so words share their ids with or without
+    such an end.
     """
 
     def __init__(self, cut: Callable, encode_many: Callable[[list], list[bytes]], unsafe: Callable[[object], bool], whole: Callable[[str], bytes], ends: str | bytes, bare: str | bytes, remembered: int):
         self.cut, self.encode_many, self.unsafe, self.whole, self.ends, self.bare, self.remembered = cut, encode_many, unsafe, whole, ends, bare, remembered
+        self.last_letter = LAST_LETTER if isinstance(bare, str) else b"z"
         self.known: dict = {}
         self.old: dict = {}
         self.parts: dict = {}
@@ -62,12 +68,16 @@ class ChunkCache:
             if chunk in old:
                 known[chunk] = old[chunk]
                 continue
+            if chunk.isalpha():
+                split.append((chunk, chunk, None))
+                wanted.add(chunk)
+                continue
             if self.unsafe(chunk):
                 known[chunk] = None
                 continue
             base = chunk.rstrip(ends)
             last = base[-1:]
-            if len(base) == len(chunk) or not (last.isascii() and last.isalpha()):
+            if len(base) == len(chunk) or not last.isalpha() or last > self.last_letter:
                 base = chunk
             tail = self.bare + chunk[len(base) :] if base is not chunk else None
             split.append((chunk, base, tail))
@@ -121,21 +131,25 @@ def byte_symbols() -> list[str]:
 def _library_cache(path: str, cut: Callable, unsafe: Callable, as_text: Callable, fold: Callable, ends: str | bytes, bare: str | bytes, remembered: int) -> ChunkCache:
     tokenizer = library(path)
     tokenize, symbols = tokenizer.model.tokenize, byte_symbols()
-    blank = symbols[32]
+    blank, shown = symbols[32], dict(enumerate(symbols))
 
     def whole(text: str) -> bytes:
         return packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
+    line_feed = whole("\n")
+
     def encode_one(chunk: str | bytes) -> bytes:
         text = as_text(chunk)
+        if text[0] == "\n" and len(text) > 1:
+            return line_feed + encode_one(BARE + text[1:])
         word = text[1:] if text[0] == " " else text
         # A word of plain Latin letters is one piece, so it goes to the merges without the rules for cutting and folding.
         if not word.isalpha():
             return whole(text)
         if word.isascii():
             return packed([t.id for t in tokenize(word if word is text else blank + word)])
-        if max(word) < "\u0130":
-            return packed([t.id for t in tokenize("".join([symbols[b] for b in fold(text).encode()]))])
+        if max(word) <= LAST_LETTER:
+            return packed([t.id for t in tokenize(fold(text).encode().decode("latin-1").translate(shown))])
         return whole(text)
 
     return ChunkCache(cut, lambda chunks: list(map(encode_one, chunks)), unsafe, whole, ends, bare, remembered)
@@ -157,11 +171,11 @@ def unsafe_chunk(specials: list[str]) -> Callable[[str], bool]:
 @functools.cache
 def byte_level_cache(path: str) -> ChunkCache:
     """For byte-level vocabularies, where white space belongs to the tokens."""
-    return _library_cache(path, spaced, unsafe_chunk(special_strings(path)), chunk_of, str, ".,", BARE, REMEMBERED_BYTES)
+    return _library_cache(path, spaced, unsafe_chunk(special_strings(path)), chunk_of, str, ENDS, BARE, REMEMBERED_BYTES)
 
 
 @functools.cache
 def word_level_cache(path: str) -> ChunkCache:
     """For vocabularies that drop white space: words between ASCII white space, as UTF-8, A-Z as a-z."""
     specials = [s.encode() for s in special_strings(path)]
-    return _library_cache(path, lambda text: text.encode().lower().split(), lambda chunk: b"|" in chunk and any(s in chunk for s in specials), bytes.decode, str.lower, b".,", b"", REMEMBERED_WORDS)
+    return _library_cache(path, lambda text: text.encode().lower().split(), lambda chunk: b"|" in chunk and any(s in chunk for s in specials), bytes.decode, str.lower, ENDS.encode(), b"", REMEMBERED_WORDS)
