@@ -116,7 +116,7 @@ def bfs_distance_order_part(spark, sf_dir):
     prepare(spark)
     edges = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
     adj = cut(matrix.clean(edges))
-    return traverse.multi_bfs(adj, cut(first_root(adj)), 6).select("vertex", "depth")
+    return traverse.multi_bfs(adj, cut(first_root(adj))).select("vertex", "depth")
 
 
 CUSTOMER_SUPPLIER = "adj AS (SELECT DISTINCT 2 * o_custkey AS src, 2 * l_suppkey + 1 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION SELECT DISTINCT 2 * l_suppkey + 1, 2 * o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"

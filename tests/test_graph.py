@@ -76,6 +76,14 @@ def test_hand_graph(hand):
     assert sorted((r["vertex"], r["depth"]) for r in depths_from_parents(tree).collect()) == [(0, 0), (1, 1), (2, 1), (3, 2), (4, 3)]
 
 
+def test_order_part_search_ends_with_its_frontier(spark, tmp_path):
+    # A chain of orders and parts, deeper than any fixed bound of the oracle.
+    lines = [(k, k) for k in range(10)] + [(k + 1, k) for k in range(9)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["vertex"]: r["depth"] for r in catalog.QUERIES["bfs_distance_order_part"](spark, str(tmp_path)).collect()}
+    assert got == {v: v for v in range(20)}
+
+
 GOOD = {0: (0, 0), 1: (0, 1), 2: (0, 1), 3: (1, 2), 4: (3, 3)}
 
 
