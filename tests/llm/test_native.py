@@ -104,6 +104,20 @@ def test_licenses(spark, sf_dir, odd, rows):
         assert len(missed) < licenses.THRESHOLD / (2 - licenses.THRESHOLD) * len(bigrams)
 
 
+def test_license_texts_and_windows(spark):
+    import textwrap
+
+    texts = {n: textwrap.fill(" ".join(t.split()), 72) for n, t in licenses.TEXTS.items()}
+    rows = [(k, "Copyright 2020 Some One\n\n" + texts[n], n) for k, n in enumerate(texts)]
+    rows += [(100 + k, "word " * 300 + "\n" + "\n".join("# " + line for line in texts[n].split("\n")) + "\nimport os. " + "other " * 300, n) for k, n in enumerate(("MIT-text", "GPL-3.0-header", "ISC-text", "BSD-3-Clause-text"))]
+    notice, wrapped = licenses.TEMPLATES["MIT"], textwrap.fill(licenses.TEMPLATES["BSD-redistribution"], 72)
+    rows += [(200, f"Some words before it. {notice} And many more words after the notice.", "MIT"), (201, f"First line of a file\n{wrapped}\nlast line", "BSD-redistribution"), (202, f"Four words or more. {notice}\n" * 50, "MIT")]
+    rows += [(300, "Permission to use the licence was granted. The software is free.", None), (301, " ".join(reversed(texts["MIT-text"].split())), None)]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert {i: got[i]["license"] for i, *_ in rows} == {i: n for i, _, n in rows}
+    assert got[200]["dice"] == got[202]["dice"] == 1.0 and got[200]["n_units"] == 1 and got[300]["n_units"] == 0
+
+
 def test_chat_against_sql(spark, sf_dir):
     got = queries.op1_chat(spark, sf_dir)
     con = duckdb.connect()
