@@ -3,7 +3,7 @@
 Words become symbols by a lexical transducer: insults (learned words and stems, each with its weight), threats, targets,
 negation and reported speech. Three small transducers are composed over these symbols: negation marks an insult that
 follows within three words, reported speech marks what is told as another's words, and the scorer adds up weights, more
-where a target stands in the clause and less for marked symbols. The composed machine runs over clauses, so what counts
+where a target stands anywhere in the clause and less for marked symbols; threats count with a target only. The composed machine runs over clauses, so what counts
 is a matched clause, not a word by itself. A text's sum is mapped to a probability.
 
 The insult lexicon and the map to probabilities are learned from at most ``SAMPLE_ROWS`` labelled rows outside the
@@ -53,7 +53,8 @@ TARGETS = "you your yours he she they them him her du dich dir ihr euch sie tu t
 NEGATIONS = "not no never neither nicht kein keine nie pas jamais non nunca jamás"
 REPORTS = "said says told claimed quoted reported wrote sagte sagt schrieb dit disait écrit dijo dice escribió"
 
-O, INSULT, THREAT, TARGET, NEGATION, REPORT, DENIED, TOLD = range(8)
+SYMBOLS = range(10)
+O, INSULT, THREAT, TARGET, NEGATION, REPORT, DENIED, TOLD, DENIED_THREAT, TOLD_THREAT = SYMBOLS
 CLAUSE_END = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"\w+")
 
@@ -67,7 +68,7 @@ class Transducer:
     def step(self, state: int, symbol: int) -> tuple[int, int, float]:
         return self.arcs.get((state, symbol), (state, symbol, 1.0))
 
-    def then(self, other: Transducer, symbols: range = range(8)) -> Transducer:
+    def then(self, other: Transducer, symbols: range = SYMBOLS) -> Transducer:
         """The composition: this one's output is the other's input; factors multiply."""
         number, todo, arcs = {(self.start, other.start): 0}, [(self.start, other.start)], {}
         while todo:
@@ -89,16 +90,18 @@ def grammar() -> Transducer:
     negation = {(s, NEGATION): (scope, NEGATION, 0.0) for s in range(scope + 1)}
     for s in range(1, scope + 1):
         negation |= {(s, x): (s - 1, x, 1.0) for x in (O, TARGET, REPORT)}
-        negation |= {(s, x): (s - 1, DENIED, 1.0) for x in (INSULT, THREAT)}
-    report = {(0, REPORT): (1, REPORT, 0.0), (1, INSULT): (1, TOLD, 1.0), (1, THREAT): (1, TOLD, 1.0)}
-    # States of the scorer: 0 nothing yet, 1 a target stood before, 2 an insult or threat stood before a target.
-    scorer = {(0, TARGET): (1, TARGET, 0.0), (1, TARGET): (1, TARGET, 0.0), (2, TARGET): (1, TARGET, 0.0)}
-    for s in range(3):
+        negation |= {(s, INSULT): (s - 1, DENIED, 1.0), (s, THREAT): (s - 1, DENIED_THREAT, 1.0)}
+    report = {(0, REPORT): (1, REPORT, 0.0), (1, INSULT): (1, TOLD, 1.0), (1, THREAT): (1, TOLD_THREAT, 1.0)}
+    # States of the scorer: 0 no target, 1 a target stands in the clause. Threats count with a target only, denied and told ones less than direct ones.
+    scorer = {(s, TARGET): (1, TARGET, 0.0) for s in range(2)}
+    for s in range(2):
         scorer |= {
-            (s, INSULT): (max(s, 2) if s != 1 else 1, INSULT, 1.25 if s == 1 else 1.0),
-            (s, THREAT): (s, THREAT, 0.5 if s == 1 else 0.0),
+            (s, INSULT): (s, INSULT, 1.25 if s == 1 else 1.0),
+            (s, THREAT): (s, THREAT, 0.5 * s),
             (s, DENIED): (s, DENIED, 0.5),
             (s, TOLD): (s, TOLD, 0.75),
+            (s, DENIED_THREAT): (s, DENIED_THREAT, 0.25 * s),
+            (s, TOLD_THREAT): (s, TOLD_THREAT, 0.375 * s),
             (s, O): (s, O, 0.0),
             (s, NEGATION): (s, NEGATION, 0.0),
             (s, REPORT): (s, REPORT, 0.0),
@@ -152,8 +155,11 @@ class ToxicityModel:
             first = bisect.bisect_left(hits, lo)
             if first < len(hits) and hits[first] < cut_at[0]:
                 state, total = arcs.start, 0.0
-                for word in WORD.findall(text, lo, cut_at[0]):
-                    kind, weight = self.symbol(word, closed)
+                read = [self.symbol(word, closed) for word in WORD.findall(text, lo, cut_at[0])]
+                # A target counts for all of its clause, so the clause is read as if it began with it.
+                if any(kind == TARGET for kind, _ in read):
+                    state = arcs.step(state, TARGET)[0]
+                for kind, weight in read:
                     state, _, factor = arcs.step(state, kind)
                     total += factor * weight
                 if total:

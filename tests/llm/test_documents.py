@@ -295,3 +295,12 @@ def test_toxicity_grammar():
     assert model.total("Killing time. We kill bugs") == 0 < model.total("I will kill you. You I kill")
     assert model.total("morons") == 4.0 and model.total("oxymorons") == 0
     assert model.score("You idiot, you moron.") > 0.5 > model.score("")
+
+
+def test_toxicity_clauses():
+    model = toxicity.ToxicityModel({"idiot": 4.0, "scum": 6.0}, {}, 1.0, -2.0)
+    wanted = {
+        "I will kill you": 2.0, "kill you": 2.0, "you kill": 2.0, "kill and hurt you": 4.0, "do not kill": 0.0, "do not kill you": 1.0, "he said kill": 1.5, "she said to kill you": 1.5,
+        "we kill time": 0.0, "idiot, you": 5.0, "you idiot": 5.0, "scum, all of you": 7.5, "an idiot": 4.0, "you are not an idiot": 2.0, "no idiot": 2.0, "kill. You": 0.0,
+    }
+    assert {text: model.total(text) for text in wanted} == wanted
