@@ -436,6 +436,17 @@ def bitfield_sort(spark, sf_dir):
     return primitives.sort_pairs(positioned(spark, sf_dir), start_bit=2, bits=5).limit(500)
 
 
+# The two queries before return the first 500 rows; these return all.
+@query(POSITIONED + "SELECT position, key, value, row_number() OVER (ORDER BY key, position) - 1 AS rank FROM t")
+def radix_sort_kv_ranks(spark, sf_dir):
+    return primitives.sort_ranks(positioned(spark, sf_dir))
+
+
+@query(POSITIONED + "SELECT position, key, value, row_number() OVER (ORDER BY (key >> 2) & 31, position) - 1 AS rank FROM t")
+def bitfield_sort_ranks(spark, sf_dir):
+    return primitives.sort_ranks(positioned(spark, sf_dir), start_bit=2, bits=5)
+
+
 @query(POSITIONED + "SELECT position, key, value, key % 8 AS bin, row_number() OVER (ORDER BY key % 8, position) - 1 AS slot FROM t")
 def bin_partition(spark, sf_dir):
     return primitives.partition_slots(positioned(spark, sf_dir), 8).select("position", "key", "value", "bin", "slot")

@@ -8,6 +8,8 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewise.functions.session import cut
+
 REDUCTIONS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "bit_or": F.bit_or, "bit_and": F.bit_and, "bit_xor": F.bit_xor, "any": F.bool_or, "all": F.bool_and}
 #: Positions in one range of the two-level scan.
 RANGE = 1 << 16
@@ -45,6 +47,20 @@ def sort_pairs(frame: DataFrame, key: str = "key", start_bit: int | None = None,
     return frame.orderBy(order, "position")
 
 
+def sort_ranks(frame: DataFrame, key: str = "key", start_bit: int | None = None, bits: int | None = None) -> DataFrame:
+    """Add ``rank``, the place of every row from 0 on in the order of ``sort_pairs``.
+
+    Two levels: rows are dealt out by ranges of the order, the ranges' counts scanned, and each range is numbered from there.
+    """
+    order = F.col(key) if start_bit is None else F.shiftrightunsigned(key, start_bit).bitwiseAND((1 << bits) - 1)
+    rows = cut(frame.withColumn("sort_order", order).repartitionByRange("sort_order", "position").withColumn("sort_part", F.spark_partition_id()))
+    counts = rows.groupBy("sort_part").agg(F.count("*").alias("n"))
+    bases = counts.select("sort_part", F.coalesce(F.sum("n").over(Window.orderBy("sort_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("sort_part").orderBy("sort_order", "position")) - 1
+    # One row per range.
+    return rows.join(F.broadcast(bases), "sort_part").withColumn("rank", (F.col("base") + own).cast("long")).select(*frame.columns, "rank")
+
+
 def bit_order(value: Column) -> Column:
     """Doubles in the order of a sort by their bits: -0.0 before 0.0, which compare as equal otherwise."""
     return F.struct(value.alias("value"), (value.cast("string") != "-0.0").alias("plus"))

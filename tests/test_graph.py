@@ -180,6 +180,14 @@ def test_small_operators(spark):
     assert [str(r["x"]) for r in doubles.orderBy(primitives.bit_order(F.col("x"))).collect()] == ["-1.0", "-0.0", "0.0"]
 
 
+def test_sort_ranks_of_all_rows(spark):
+    rows = [(p, (p * 7919) % 97, p % 5) for p in range(2000)]
+    frame = spark.createDataFrame(rows, "position long, key long, value long")
+    for bits, order in (({}, lambda r: (r[1], r[0])), ({"start_bit": 2, "bits": 3}, lambda r: (r[1] >> 2 & 7, r[0]))):
+        got = sorted(map(tuple, primitives.sort_ranks(frame, **bits).collect()), key=lambda r: r[3])
+        assert got == [(*r, k) for k, r in enumerate(sorted(rows, key=order))]
+
+
 def test_benchmark_run(spark):
     report = benchmark.run(spark, 7, searches=8)
     assert report.runs.where("valid").count() == 8 and report.runs.where("nedge = 2048").count() == 8
