@@ -12,6 +12,7 @@ seeds; a host whose links lead nowhere passes nothing on; repeated rows count as
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +23,9 @@ from edgewise.functions.session import cut, prepare
 # Verdict, host and path of each rule.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
-ROUNDS = 20
 TOLERANCE = 1e-6
+#: A round changes the scores by DAMPING times what the round before did at most, so the tolerance is met by then.
+ROUNDS = math.ceil(math.log(TOLERANCE / 2) / math.log(DAMPING)) + 1
 RATIO = 1.0
 LEAST = 1e-12
 LINK = r"""(?i)href\s*=\s*["']?\s*([a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""

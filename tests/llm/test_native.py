@@ -211,3 +211,10 @@ def test_urls(spark, sf_dir):
     verdicts = {r["page_id"]: r["verdict"] for r in urls.judge_pages(frame).collect()}
     assert verdicts[14] == "block" and verdicts[9] == "allow"
     assert urls.judge_pages(frame.where("false")).count() == 0
+
+
+def test_url_scores_are_followed_to_the_tolerance(spark):
+    # Distrust goes back along a chain of 30 hosts to one whose page is blocked.
+    pages = [(k, f"https://h{k}.net/", f"<a href='https://h{k + 1}.net/'>") for k in range(29)] + [(29, "https://h29.net/", "<a href='https://bad.com/'>"), (30, "https://bad.com/de/", None)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"block"}
