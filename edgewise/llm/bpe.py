@@ -21,11 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .chunks import BARE, ENDS, ChunkCache, byte_symbols, chunk_of, spaced, unsafe_chunk
+from .chunks import BARE, ChunkCache, at_blanks, byte_symbols, chunk_of
 from .common import id_and_text
 
 #: Fixed value: how byte-level vocabularies of this kind split a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Of long pieces so many are merged side by side at least; fewer are merged one by one.
+FEW_ROWS = 64
 _NONE = np.iinfo(np.int64).max
 
 
@@ -48,7 +50,7 @@ class ByteBpe:
         self.pattern = regex.compile(PATTERN)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces: dict[bytes, bytes] = {}
-        self.cache = ChunkCache(spaced, lambda keys: self._encode_chunks(list(map(chunk_of, keys))), unsafe_chunk(list(self.special)), self._encode_whole, ENDS, BARE, 250_000)
+        self.cache = ChunkCache(at_blanks, lambda keys: self._encode_chunks(list(map(chunk_of, keys))), self._encode_whole, list(self.special), BARE)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; _NONE where a pair does not merge."""
@@ -112,12 +114,63 @@ class ByteBpe:
         joined = flat[alive].tobytes()
         return [joined[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def _merge_one(self, piece: bytes, width: int) -> bytes:
+        """The same for one long piece, with the tree in a list: a merge costs its path, not numpy calls."""
+        none, table = int(_NONE), self._table()
+        symbols = [int(self.byte_ids[b]) for b in piece]
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        tree = [none] * (2 * width)
+
+        def value(left: int) -> int:
+            right = after[left]
+            rank = table.get(symbols[left] << 32 | symbols[right]) if right < n else None
+            return none if rank is None else rank * width + left
+
+        def update(place: int, new: int) -> None:
+            node = place + width
+            tree[node] = new
+            while node > 1:
+                node >>= 1
+                one, two = tree[2 * node], tree[2 * node + 1]
+                best = one if one < two else two
+                if tree[node] == best:
+                    break
+                tree[node] = best
+
+        tree[width : width + n] = map(value, range(n))
+        for k in range(width - 1, 0, -1):
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+        while tree[1] != none:
+            rank, left = divmod(tree[1], width)
+            right = after[left]
+            symbols[left] = int(self.merged[rank])
+            after[left] = beyond = after[right]
+            if beyond < n:
+                before[beyond] = left
+            update(right, none)
+            update(left, value(left))
+            if before[left] >= 0:
+                update(before[left], value(before[left]))
+        out, at = [], 0
+        while at < n:
+            out.append(symbols[at])
+            at = after[at]
+        return np.array(out, "<u4").tobytes()
+
+    @functools.cache  # noqa: B019 - one object per vocabulary and worker
+    def _table(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+
     def _encode_pieces(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         by_width: dict[int, list[bytes]] = {}
         for piece in pieces:
             by_width.setdefault(1 << max(0, (len(piece) - 1).bit_length()), []).append(piece)
         out: dict[bytes, bytes] = {}
         for width, rows in by_width.items():
+            if width * FEW_ROWS > 1 << 18 or (width > 256 and len(rows) < FEW_ROWS):
+                out |= {row: self._merge_one(row, width) for row in rows}
+                continue
             step = max(1, (1 << 18) // width)
             for lo in range(0, len(rows), step):
                 out |= dict(zip(rows[lo : lo + step], self._merge_rows(rows[lo : lo + step], width), strict=True))
@@ -134,7 +187,7 @@ class ByteBpe:
         parts = self.split_special.split(text) if self.split_special else [text]
         return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else self._encode_chunks([p])[0] for p in parts)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         return self.cache.encode(texts)
 
@@ -154,7 +207,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, with_ids: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocabulary)
         for batch in batches:
-            encoded = bpe.encode(batch.column(1).to_pylist())
+            encoded = list(bpe.encode(batch.column(1)))
             columns = {
                 "doc_id": batch.column(0),
                 "n_tokens": pa.array([len(x) // 4 for x in encoded], pa.int64()),

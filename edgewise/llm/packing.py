@@ -82,7 +82,7 @@ def pack(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
         first, group, tokens = (context.partitionId() if context else 0) << 33, [], 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc_id, encoded in zip(ids, cache.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, encoded in zip(ids, cache.encode(batch.column(1)), strict=True):
                 group.append((doc_id, encoded + end))
                 tokens += len(encoded) // 4 + 1
                 if tokens >= GROUP_TOKENS:

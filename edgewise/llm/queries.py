@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprints, licenses, neardup, packing, quality, tokenfiles, toxicity, urls
 from .common import table
 
-#: Where the public vocabulary files are.
-TOKENIZERS = "/opt/tokenizers"
-
-
+#: The vocabularies of the package of public tokenizers.
+BYTE_LEVEL, WORD_LEVEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 #: What both messages of the added conversation say.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -67,11 +66,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), BYTE_LEVEL)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfiles.token_files(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return tokenfiles.token_files(table(spark, sf_dir, "documents"), BYTE_LEVEL)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +78,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_LEVEL)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def texts() -> list[str]:
 
 @pytest.mark.parametrize("name", ["byte_level", "word_level", "segment_tree"])
 def test_chunked_ids_equal_the_library(name: str) -> None:
-    path = f"{queries.TOKENIZERS}/{'word_bpe_49k' if name == 'word_level' else 'byte_bpe_50k'}.json"
+    path = queries.WORD_LEVEL if name == "word_level" else queries.BYTE_LEVEL
     encoder = {"byte_level": chunks.byte_level_cache, "word_level": chunks.word_level_cache, "segment_tree": bpe.byte_bpe}[name](path)
     library, given = chunks.library(path), texts()
     for text, ids in zip(given, encoder.encode(given), strict=True):

@@ -11,8 +11,7 @@ import pytest
 
 from edgewise.llm import bpe, chunks, neardup, packing, quality, queries, tokenfiles, toxicity
 
-BYTES = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
-WORDS = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+BYTES, WORDS = queries.BYTE_LEVEL, queries.WORD_LEVEL
 LONG = " ".join(f"word{i % 997}" for i in range(30_000))
 ODD = [
     (1, None), (2, ""), (3, " \n\t "), (4, "one two"), (5, "one two"), (5, "one two"), (None, "no id"), (7, LONG), (8, LONG + " end"),
@@ -63,6 +62,13 @@ def test_bpe_matches_the_library(spark, sf_dir, rows, odd, empty):
     assert bpe.bpe_round_trip(empty, BYTES).count() == 0
 
 
+def test_bpe_of_long_pieces():
+    draw = random.Random(3)
+    texts = ["a" * 5000, "ab" * 4000, "".join(draw.choice("etaoinß") for _ in range(8000)), *("".join(draw.choice("theinr") for _ in range(700 + k)) for k in range(70))]
+    for text, ids in zip(texts, bpe.byte_bpe(BYTES).encode(texts), strict=True):
+        assert ids == as_bytes(library_ids(BYTES, text))
+
+
 def check_files(got, rows):
     before, want = 0, []
     for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0], x[1] or "")):
@@ -89,6 +95,16 @@ def test_shard_random_access(rows):
         assert [shard.id_at(k, p) for p in range(0, len(ids), 37)] == ids[::37].tolist()
 
 
+def test_shards_of_copies_shrink_until_it_does_not_pay():
+    draw = random.Random(4)
+    text = as_bytes([draw.randrange(60_000) for _ in range(500)])
+    parts = [text + as_bytes([k]) for k in range(300)]
+    shard = tokenfiles.Shard(tokenfiles.compress(parts, 65_000))
+    assert [shard.document(k).astype("<u4").tobytes() for k in range(300)] == parts
+    assert len(shard.seq) < 300 * 4 and shard.seq.max() > 65_535
+    assert [shard.id_at(299, p) for p in range(501)] == shard.document(299).tolist()
+
+
 @pytest.mark.parametrize("ids", [[7] * 101, [1, 2] * 50, [5], [0, 0, 0], list(range(300)) * 3])
 def test_shard_repetition(ids):
     parts = [as_bytes(ids), as_bytes(ids[::-1]), b"", as_bytes([9])]
