@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewise.functions.session import prepare
+from edgewise.functions.session import checkpoint_dir, prepare
 
 #: The white space that separates words in every word rule of this package.
 ASCII_SPACE = " \t\n\r\x0b\x0c"
@@ -25,6 +26,13 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """``frame`` as a parquet table in the shared checkpoint folder."""
+    folder = f"{checkpoint_dir(frame.sparkSession)}/stored-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def per_document(docs: DataFrame, row: Callable[[str], tuple], names: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
     """One output row for each input row: doc_id and what ``row(text)`` returns."""
 

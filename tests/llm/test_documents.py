@@ -99,7 +99,7 @@ def test_shards_of_copies_shrink_until_it_does_not_pay():
     draw = random.Random(4)
     text = as_bytes([draw.randrange(60_000) for _ in range(500)])
     parts = [text + as_bytes([k]) for k in range(300)]
-    shard = tokenfiles.Shard(tokenfiles.compress(parts, 65_000))
+    shard = tokenfiles.Shard(tokenfiles.compress(parts, 65_500))
     assert [shard.document(k).astype("<u4").tobytes() for k in range(300)] == parts
     assert len(shard.seq) < 300 * 4 and shard.seq.max() > 65_535
     assert [shard.id_at(299, p) for p in range(501)] == shard.document(299).tolist()
@@ -195,15 +195,16 @@ def test_quality(spark, sf_dir, rows, odd, empty):
 
 
 def sets_of(rows):
+    """The set of each row with a doc_id, by the row's number; rows of equal doc_id are documents of their own."""
     out = {}
-    for i, t in rows:
+    for at, (i, t) in enumerate(rows):
         w = words_of("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        out[at] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     return out
 
 
 def brute_components(rows):
-    sets = {i: s for i, s in sets_of(rows).items() if i is not None}
+    sets = {at: s for at, s in sets_of(rows).items() if rows[at][0] is not None}
     by_shingle = {}
     for i, s in sets.items():
         for x in s:
@@ -225,17 +226,32 @@ def brute_components(rows):
         if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
             a, b = sorted((root(a), root(b)))
             parent[b] = a
-    return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
+    least = {}
+    for at in sets:
+        least[root(at)] = min(least.get(root(at), rows[at][0]), rows[at][0])
+    return {at: (root(at), len(sets[at]), least[root(at)]) for at in sets}
 
 
 def check_near(got, rows):
-    want = brute_components(rows)
-    for r in got:
-        if r["doc_id"] is None:
-            assert r["component_id"] is None and r["kept"]
+    want = Counter((i, found[at][1], found[at][2], found[at][2] == i) if at in found else (i, len(sets[at]), None, True) for found, sets in [(brute_components(rows), sets_of(rows))] for at, (i, t) in enumerate(rows))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == want
+
+
+def check_dropped(got, rows):
+    """Exactly one row of each component, of its least doc_id; all rows without words or doc_id."""
+    found, left = brute_components(rows), Counter((r["doc_id"], r["text"]) for r in got)
+    groups = {}
+    for at, (i, t) in enumerate(rows):
+        if at not in found or not found[at][1]:
+            left[i, t] -= 1
         else:
-            assert (r["n_shingles"], r["component_id"], r["kept"]) == want[r["doc_id"]], r
-    assert len(got) == len(rows)
+            groups.setdefault(found[at][0], []).append((i, t))
+    for members in groups.values():
+        least = min(i for i, _ in members)
+        kept = [m for m in {m for m in members if m[0] == least} if left[m] > 0]
+        assert kept, members[:3]
+        left[kept[0]] -= 1
+    assert not any(left.values()), {k: n for k, n in left.items() if n}
 
 
 def test_near_duplicates(spark, sf_dir, rows, odd, empty):
@@ -244,7 +260,17 @@ def test_near_duplicates(spark, sf_dir, rows, odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
     once = neardup.drop_near_duplicates(odd)
     assert once.columns == odd.columns
-    assert Counter(r["doc_id"] for r in once.collect())[5] == 0 and once.where("doc_id = 4").count() == 1
+    check_dropped(once.collect(), ODD)
+    assert neardup.drop_near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_of_shared_ids(spark):
+    """Rows that share a doc_id and differ in text are documents of their own; none is lost."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (4, b + " more"), (5, a + " end"), (5, a + " end"), (5, a + " fin"), (6, ""), (6, None), (6, c), (None, a), (7, "x y"), (7, "x z"), (8, "X Y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'h' AS text_hash", "1 AS kept", "2 AS component", "3 AS place", "map(1, 2) AS m")
+    check_near(neardup.near_duplicates(frame).collect(), rows)
+    check_dropped(neardup.drop_near_duplicates(frame).collect(), rows)
 
 
 def test_near_duplicate_chains(spark):
