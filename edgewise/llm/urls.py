@@ -2,12 +2,16 @@
 
 Edges go from the host of a page to the hosts of the absolute links in its html, one for each pair of hosts with the number
 of links. Trust is personalised PageRank from seeds whose pages a rule allows; distrust is the same on reversed edges
-from seeds whose pages a rule blocks, so hosts that link to blocked ones become suspect. A host is blocked where its
-distrust is greater than ``RATIO`` times its trust and than ``LEAST``; else allowed. Pages that a rule fits have its verdict.
+from seeds whose pages a rule blocks, so hosts that link to blocked ones become suspect. What rules say of a host's own pages
+comes before what others pass on: the share of its ruled pages that are allowed (or blocked) is added to its rank, which is
+below 1. A host is blocked where its distrust is greater than ``RATIO`` times its trust and than ``LEAST``; else allowed.
+Pages that a rule fits have its verdict.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed unless its (empty)
-host is blocked; null html has no links; links of a host to itself are ignored; without edges, scores are those of the
-seeds; a host whose links lead nowhere passes nothing on; repeated rows count as more pages; other columns are ignored.
+host is blocked; null html has no links; very long html and urls are read whole; hosts are compared with A-Z as a-z, other
+letters as they are; a link that a page repeats counts once for the page; links of a host to itself are ignored; without
+edges, scores are those of the seeds; a host whose links lead nowhere passes nothing on; equal trust and distrust allow;
+repeated rows count as more pages; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +35,17 @@ LEAST = 1e-12
 LINK = r"""(?i)href\s*=\s*["']?\s*([a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
+def small(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def split_url(frame: DataFrame) -> DataFrame:
     """Add host and path from ``url``."""
     at = F.position(F.lit("://"), F.col("url"))
     rest = F.when(at > 0, F.substr("url", at + 3)).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
-    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return frame.withColumns({"host": F.coalesce(F.translate(host, capitals, small), F.lit("")), "path": F.coalesce(path, F.lit(""))})
+    return frame.withColumns({"host": F.coalesce(small(host), F.lit("")), "path": F.coalesce(path, F.lit(""))})
 
 
 def matched_rule(rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
@@ -52,8 +59,9 @@ def matched_rule(rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column,
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, links between different hosts."""
-    links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(2)))).alias("dst"))
-    return links.select("src", F.lower("dst").alias("dst")).where("src <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
+    hosts = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(2)), small))
+    links = pages.select(F.col("host").alias("src"), F.explode(hosts).alias("dst"))
+    return links.where("src <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -90,7 +98,13 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
 
     trust = spread(edges, seeds("allowed")).withColumnRenamed("score", "trust")
     distrust = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links"), seeds("blocked")).withColumnRenamed("score", "distrust")
-    scored = trust.join(distrust, "host", "full").select(F.col("host").alias("h"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    ranks = trust.join(distrust, "host", "full")
+    # Hosts with a rule are seeds, so each of them has a rank.
+    own = hosts.where("allowed + blocked > 0").select(F.col("host").alias("ruled_host"), (F.col("allowed") / (F.col("allowed") + F.col("blocked"))).alias("own"))
+    ranks = ranks.join(own, F.col("host") == F.col("ruled_host"), "left")
+    trust_sum = F.coalesce("trust", F.lit(0.0)) + F.coalesce("own", F.lit(0.0))
+    distrust_sum = F.coalesce("distrust", F.lit(0.0)) + F.coalesce(1 - F.col("own"), F.lit(0.0))
+    scored = ranks.select(F.col("host").alias("h"), trust_sum.alias("trust"), distrust_sum.alias("distrust"))
     out = ruled.select("page_id", "host", "path", "rule", "ruled").join(cut(scored), F.col("host") == F.col("h"), "left")
     trust_of, distrust_of = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     method = F.when((distrust_of > RATIO * trust_of) & (distrust_of > LEAST), "block").otherwise("allow")

@@ -163,9 +163,9 @@ def brute_pages(pages):
         host, path = split(url)
         fits = [(len(h + p), h + p, k) for k, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         ruled.append((page_id, host, path, *(max(fits)[1:] if fits else (None, None))))
-        for dst in {m[1] for m in re.findall(urls.LINK, html or "")}:
-            if host and dst.lower() != host:
-                edges[host, dst.lower()] = edges.get((host, dst.lower()), 0) + 1
+        for dst in {"".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]) for m in re.findall(urls.LINK, html or "")}:
+            if host and dst != host:
+                edges[host, dst] = edges.get((host, dst), 0) + 1
 
     def spread(edges, kind):
         seeds = {}
@@ -192,7 +192,8 @@ def brute_pages(pages):
     trust, distrust = spread(edges, "allow"), spread({(b, a): n for (a, b), n in edges.items()}, "block")
     out = []
     for page_id, host, path, rule, verdict in ruled:
-        t, d = trust.get(host, 0), distrust.get(host, 0)
+        own = [x[-1] for x in ruled if x[1] == host and x[-1]]
+        t, d = (r.get(host, 0) + (own.count(k) / len(own) if own else 0) for r, k in ((trust, "allow"), (distrust, "block")))
         out.append((page_id, host, path, rule, verdict or ("block" if d > urls.RATIO * t and d > urls.LEAST else "allow")))
     return out
 
@@ -202,6 +203,7 @@ def test_urls(spark, sf_dir):
     odd = [
         (1, None, None), (2, "no scheme", "<a href='https://bad.com/'>"), (3, "HTTP://Example.ORG/es/x?y#z", '<a HREF="//far.net/q">x</a>'), (4, "https://example.org", ""), (5, "a://b://c/d", None),
         (6, "https://far.net/a", '<a href="https://bad.com/x"><a href="https://Bad.com/y">'), (7, "https://bad.com/de/", None), (8, "https://good.org/?q", "<a href=https://near.net/>"), (8, "https://good.org/p", "<a href=https://near.net/>"),
+        (15, "https://b\u00dccher.net/de/", None), (16, "https://x.net/", "<a href='//b\u00dccher.net'><a href='//B\u00dcccher.NET'><a href='//b\u00dcCHER.net'>"),
         (9, "https://near.net#f", '<a href="https://far.net/">'), (10, "https://sub.example.org/en/12", None), (11, "https://notexample.org/en/1", None), (12, "https://x.com/fr/\nq", None), (13, "https://", None), (14, "https://bad.com/", "<a href='https://far.net'>" * 2000),
     ]
     frame = spark.createDataFrame(odd, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS path", "3 AS rule", "4 AS trust", "5 AS h")
@@ -218,3 +220,22 @@ def test_url_scores_are_followed_to_the_tolerance(spark):
     pages = [(k, f"https://h{k}.net/", f"<a href='https://h{k + 1}.net/'>") for k in range(29)] + [(29, "https://h29.net/", "<a href='https://bad.com/'>"), (30, "https://bad.com/de/", None)]
     got = {r["page_id"]: r["verdict"] for r in urls.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert set(got.values()) == {"block"}
+
+
+def test_linked_web(spark):
+    """Hosts below allowed ones are allowed, those that lead to blocked ones are blocked, those that do both go by the nearer."""
+    pages = [(k, f"https://seed{k}.org/", " ".join(f"<a href='https://a0x{j}.net/'>" for j in range(k, 400, 10))) for k in range(10)]
+    pages += [(10 + k, f"https://bad{k}.com/de/", None) for k in range(10)]
+    wanted, n = {}, 20
+    for layer in range(4):
+        for k in range(400):
+            below = f"https://a{layer + 1}x{k * 7 % 400}.net/" if layer < 3 else "https://end.net/"
+            pages.append((n, f"https://a{layer}x{k}.net/p", f"<a href='{below}'>"))
+            wanted[n], n = "allow", n + 1
+            above = f"https://b{layer - 1}x{k * 3 % 400}.net/" if layer else f"https://BAD{k % 10}.com/x"
+            pages.append((n, f"https://b{layer}x{k}.net/p", f"<a href='{above}'><a href='{above}'>"))
+            wanted[n], n = "block", n + 1
+    pages += [(n, "https://bad3.com/", "<a href='https://a0x5.net/'>"), (n + 1, "https://seed3.org/", None), (n + 2, "https://alone.net/", None)]
+    wanted |= {n: "block", n + 1: "allow", n + 2: "allow"}
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in wanted} == wanted
