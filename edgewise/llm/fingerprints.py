@@ -6,13 +6,15 @@ text behind a salt. Inside each group of equal hashes the canonical bytes are co
 distinct texts of the group are numbered and the number is appended, so equal fingerprints mean equal canonical texts.
 As a digest is exact, the likeness of two fingerprints is 1.0 where they are equal, else 0.0.
 
-Defined cases: null texts count as empty; repeated rows get equal fingerprints and are ordered among equal doc_ids by
+Defined cases: null texts count as empty; very long texts are handled whole; repeated rows get equal fingerprints and are ordered among equal doc_ids by
 text; rows without doc_id come last in the descending order; the only row of a table is its own next one; an empty table
 gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,9 @@ from edgewise.functions.session import cut
 
 from .common import id_and_text
 
-#: Ranges of doc_id in which rows are ordered; at most this many, so bounds and boundary rows stay small.
-MOST_RANGES = 4096
-ROWS_PER_RANGE = 4096
+#: Rows are ordered within ranges of doc_id of about so many rows each, found in two levels: ``WIDE_RANGES`` at most, and as
+#: many inside each of them as its rows need.
+WIDE_RANGES, ROWS_PER_RANGE = 256, 4096
 SALT = "second"
 
 
@@ -44,17 +46,15 @@ def hashed(frame: DataFrame, text: str, canon: str = "canon", name: str = "hash"
 def colliding(rows: DataFrame) -> DataFrame:
     """hash, canon, number for the texts of groups of equal hash that hold more than one text, by comparing their bytes.
 
-    Groups are counted on hashes alone; only rows of groups of two or more are compared. A group's texts are numbered from
-    0 on; such groups are next to none, so this table is usually empty.
+    The least and the greatest canonical text of each hash are found with partial aggregation, so a group of many copies
+    does not meet in one task. A group's texts are numbered from 0 on; such groups are next to none, so this table is
+    usually empty.
     """
-    groups = rows.select("hash").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    both = rows.select("hash", "canon").join(groups, "hash")
-    mixed = both.groupBy("hash").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("hash")
-    mixed = cut(mixed)
+    mixed = cut(rows.groupBy("hash").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b").select("hash"))
     if mixed.isEmpty():
         return mixed.selectExpr("hash", "'' AS canon", "0 AS number")
-    number = F.dense_rank().over(Window.partitionBy("hash").orderBy("canon")) - 1
-    return cut(rows.select("hash", "canon").join(mixed, "hash").distinct().select("hash", "canon", number.alias("number")))
+    texts = rows.select("hash", "canon").join(mixed, "hash").distinct()
+    return cut(texts.select("hash", "canon", (F.dense_rank().over(Window.partitionBy("hash").orderBy("canon")) - 1).alias("number")))
 
 
 def numbered(frame: DataFrame, texts: DataFrame, name: str, canon: str) -> DataFrame:
@@ -66,54 +66,71 @@ def numbered(frame: DataFrame, texts: DataFrame, name: str, canon: str) -> DataF
     return out.withColumn(name, F.when(F.coalesce(suffix, F.lit(0)) > 0, F.concat_ws("-", F.col(name), suffix)).otherwise(F.col(name))).select(*frame.columns)
 
 
-def ranges(ids: DataFrame) -> list[int]:
-    """Upper bounds of ranges of doc_id with about equally many rows."""
-    count = ids.count()
-    n = max(1, min(MOST_RANGES, count // ROWS_PER_RANGE))
-    return sorted(set(ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
+def below(bounds: Column, value: Column) -> Column:
+    """How many of the bounds are below ``value``."""
+    return F.size(F.filter(bounds, lambda b: b < value))
 
 
-def with_next(rows: DataFrame) -> DataFrame:
-    """Each row and, as next_text and next_hash, those of the row after it in descending order of doc_id.
+def placed(rows: DataFrame) -> DataFrame:
+    """Add wide and place, the range of doc_id that a row is in; ranges are in order, rows without doc_id come before all.
 
-    Rows are ordered within ranges of doc_id. The last row of a range is followed by the first of the next range that has
-    rows; those first rows, one for each range, are copied there.
+    The bounds inside wide ranges are a table of 8 bytes for each ``ROWS_PER_RANGE`` rows.
+    """
+    ids = rows.where("doc_id IS NOT NULL").select("doc_id")
+    count = ids.count()
+    n = max(1, min(WIDE_RANGES, count // ROWS_PER_RANGE))
+    bounds = sorted({int(b) for b in ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)}) if n > 1 else []
+    wide = F.when(F.col("doc_id").isNull(), -1).otherwise(below(F.array(*map(F.lit, bounds)), F.col("doc_id")) if bounds else F.lit(0))
+    rows = rows.withColumn("wide", wide)
+    inner = max(1, -(-count // (n * ROWS_PER_RANGE)))
+    if inner == 1:
+        return rows.withColumn("place", F.lit(0))
+    shares = [k / inner for k in range(1, inner)]
+    table = ids.select("doc_id", wide.alias("of")).groupBy("of").agg(F.percentile_approx("doc_id", shares, 100 * inner).alias("bounds"))
+    rows = rows.join(F.broadcast(table), F.col("wide") == F.col("of"), "left")
+    return rows.withColumn("place", F.coalesce(below(F.array_distinct("bounds"), F.col("doc_id")), F.lit(0))).drop("of", "bounds")
+
+
+def with_next(texts: DataFrame, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Each row with what ``add`` adds, and as next_text and next_hash those of the row after it in descending order of doc_id.
+
+    The last row of a range is followed by the first of the next range that has rows; those first rows, one for each range,
+    are copied there. They are found from the ids alone; only one row for each range goes through one task.
     """
-    bounds = [int(b) for b in ranges(rows.select("doc_id"))]
-    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0), F.lit(-1))
-    placed = rows.withColumn("place", F.when(F.col("doc_id").isNull(), -1).otherwise(place))
-    heads = {r["place"]: r["top"] for r in placed.groupBy("place").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(heads, reverse=True)
-    # The copy of a range's first row goes to the range before it; that of the very first to the last.
-    to = {heads[p]: order[k - 1] for k, p in enumerate(order)}
-    mapping = F.create_map(*[x for top, p in to.items() if top is not None for x in (F.lit(top), F.lit(p))]) if any(t is not None for t in to) else None
-    order_by = [F.desc_nulls_last("doc_id"), F.asc("text")]
-    copies = placed.where(F.col("doc_id").isin([t for t in to if t is not None]))
+    rows = placed(texts)
+    whole = Window.orderBy(F.desc("wide"), F.desc("place"))
+    heads = rows.groupBy("wide", "place").agg(F.max("doc_id").alias("top"))
+    heads = heads.withColumns({"to_wide": F.lag("wide").over(whole), "to_place": F.lag("place").over(whole)})
+    # The copy of the very first range's first row goes to the very last range.
+    heads = cut(heads)
+    last = heads.select(F.min(F.struct("wide", "place")).alias("m")).select(F.col("m.wide").alias("last_wide"), F.col("m.place").alias("last_place"))
+    heads = heads.crossJoin(F.broadcast(last)).select("top", F.coalesce("to_wide", "last_wide").alias("to_wide"), F.coalesce("to_place", "last_place").alias("to_place"))
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    copies = copies.withColumn("nth", first).where("nth = 1").drop("nth").withColumn("place", F.element_at(mapping, F.col("doc_id"))) if mapping is not None else copies
-    if None in to:
-        single = placed.where("doc_id IS NULL").orderBy("text").limit(1).withColumn("place", F.lit(to[None]))
-        copies = copies.union(single)
-    both = placed.withColumn("copy", F.lit(0)).union(copies.withColumn("copy", F.lit(1)))
-    window = Window.partitionBy("place").orderBy("copy", *order_by)
+    copies = texts.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("top"))).withColumn("nth", first).where("nth = 1")
+    copies = copies.select("doc_id", "text", F.col("to_wide").alias("wide"), F.col("to_place").alias("place"), F.lit(1).alias("copy"))
+    both = add(rows.select("doc_id", "text", "wide", "place", F.lit(0).alias("copy")).union(copies))
+    window = Window.partitionBy("wide", "place").orderBy("copy", F.desc_nulls_last("doc_id"), F.asc("text"))
     both = both.withColumns({"next_text": F.lead("text").over(window), "next_hash": F.lead("hash").over(window)})
-    return both.where("copy = 0").drop("copy", "place")
+    return both.where("copy = 0")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = hashed(id_and_text(docs), "text")
-    texts = colliding(rows)
-    clear = texts.isEmpty()
-    if not clear:
-        rows = numbered(rows, texts, "hash", "canon")
+    texts = id_and_text(docs)
+    known = colliding(hashed(texts, "text"))
+    clear = known.isEmpty()
+
+    def with_hash(rows: DataFrame) -> DataFrame:
+        rows = hashed(rows, "text")
+        return (rows if clear else numbered(rows, known, "hash", "canon")).drop("canon")
+
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), size - half), F.substr("next_text", F.lit(1), half))
-    out = with_next(rows.select("doc_id", "text", "hash")).select("doc_id", "hash", "next_hash", size.cast("long").alias("n_chars"), edited.alias("edited"))
+    out = with_next(texts, with_hash).select("doc_id", "hash", "next_hash", size.cast("long").alias("n_chars"), edited.alias("edited"))
     out = hashed(out.select("*", F.sha2("edited", 256).alias("edited_sha256")), "edited", "edited_canon", "edited_hash")
     if not clear:
-        out = numbered(out, texts, "edited_hash", "edited_canon")
+        out = numbered(out, known, "edited_hash", "edited_canon")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", F.col("hash").alias("fingerprint"), F.col("edited_hash").alias("edited_fingerprint"),
         (F.col("hash") == F.col("edited_hash")).cast("double").alias("near_edited"),
