@@ -9,7 +9,9 @@ Template: each turn is ``<s>role\\ntext</s>``. In roles and texts ``&``, ``<``,
 as ``&amp;``, ``&lt;``, ``&lb;``, ``&nl;``, so no control string of this or of bracket templates can occur inside and
 every text can be read back. The loss mask is a list of (start, length) in code points over the assistant's texts.
 
-Defined cases: null roles and texts count as empty; a parent that is missing makes a root; nodes on a cycle have no path
+Texts wait in a written table until the paths are known. Only shared folders are used for it.
+
+Defined cases: null roles and texts count as empty; very long texts are handled whole; a parent that is missing makes a root; nodes on a cycle have no path
 and are left out; leaves of equal score are ranked by node; repeated rows must differ in ``node`` (``conversation_tree``
 numbers them); an empty table gives no rows; other columns are ignored.
 """
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 from edgewise.functions.session import cut, prepare
 
+from .common import stored
+
 ASSISTANT = "assistant"
 
 
@@ -37,7 +41,10 @@ def unescape(text: Column) -> Column:
 
 
 def conversation_tree(conversations: DataFrame) -> DataFrame:
-    """Linear conversations as reply trees: each row answers the one before it by turn (then role, then text)."""
+    """Linear conversations as reply trees: each row answers the one before it by turn (then role, then text).
+
+    Rows without conv_id are conversations of their own kind: one tree whose id is null.
+    """
     prepare(conversations.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = conversations.select(F.col("conv_id").alias("tree"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
@@ -77,6 +84,7 @@ def chosen_paths(messages: DataFrame, best: int = 1) -> DataFrame:
 
 def format_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """tree, leaf, rank, formatted, loss (array of start and length in code points) for each chosen path."""
+    messages = stored(messages.select("tree", "node", "parent", "role", "text", "score"))
     paths = chosen_paths(messages, best)
     texts = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = paths.join(texts, paths["tree"].eqNullSafe(F.col("t")) & (paths["node"] == texts["n"]))
