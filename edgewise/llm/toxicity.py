@@ -1,16 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols by a lexical transducer: insults (learned words and stems, each with its weight), threats, targets,
-negation and reported speech. Three small transducers are composed over these symbols: negation marks an insult that
-follows within three words, reported speech marks what is told as another's words, and the scorer adds up weights, more
-where a target stands anywhere in the clause and less for marked symbols; threats count with a target only. The composed machine runs over clauses, so what counts
-is a matched clause, not a word by itself. A text's sum is mapped to a probability.
+Words are read by letter automata and become symbols, some with a weight: insults (learned words and stems), threats,
+targets, negation and reported speech. Five small transducers are composed over these symbols: insults and threats give
+weights, negation marks what follows within three words, reported speech marks what is told as another's words, and the
+target's transducer weighs unmarked insults more, and lets threats count only, where a target stands in the clause. The
+composed machine runs over clauses, so what counts is a matched clause, not a word by itself. A text's sum is mapped to a
+probability.
 
 The insult lexicon and the map to probabilities are learned from at most ``SAMPLE_ROWS`` labelled rows outside the
-held-out fold, those of least hash of doc_id; among them, copies and near copies (equal least shingle hash and label) count
-once. Everything else is done to whole texts of all rows.
+held-out fold, those of least hash of doc_id; of copies and near copies among them (equal least shingle hash and label)
+the one of least doc_id, then least text, counts. Everything else is done to whole texts of all rows.
 
-Defined cases: null and empty texts get the score of a text without matches; without any labelled rows (or only one
+Defined cases: null and empty texts get the score of a text without matches; very long texts are read whole, and long sums
+count as ``MOST_TOTAL`` in learning only; an empty table gives no rows; of several labels of a doc_id the greatest counts;
+a score of one half counts as toxic; without any labelled rows (or only one
 label) the lexicon is the fixed one, with its default weight; repeated rows get equal scores; rows without doc_id are
 scored, are outside the held-out fold and are never learned from; other columns are ignored.
 """
@@ -37,7 +40,6 @@ from .neardup import shingles
 
 SAMPLE_ROWS = 20_000
 FOLDS = 5
-MOST_ENTRIES = 2_000
 STEM_LENGTHS = (4, 5, 6)
 #: A learned entry occurs in so large a share of toxic texts at least, and in so many.
 LEAST_SHARE, LEAST_TEXTS = 0.004, 6
@@ -45,6 +47,8 @@ LEAST_SHARE, LEAST_TEXTS = 0.004, 6
 LEAST_LOG_RATIO = 3.0
 DEFAULT_WEIGHT = 4.0
 MOST_WEIGHT = 6.0
+#: Sums above this are as good as it: the curve is fitted to sums rounded to tenths, so to few rows at any size.
+MOST_TOTAL = 99.0
 
 # Small closed word lists of the grammar.
 INSULTS = "idiot moron stupid imbecile scum loser pathetic worthless disgusting trash clown dumbass bastard dummkopf trottel arschloch idiota imbécile connard crétin estúpido cabrón"
@@ -85,28 +89,42 @@ class Transducer:
 
 @functools.cache
 def grammar() -> Transducer:
-    """Negation, then reported speech, then the scorer."""
+    """Insult, threat, negation, reported speech and target, composed."""
+    insult = Transducer({(0, INSULT): (0, INSULT, 1.0)})
+    threat = Transducer({(0, THREAT): (0, THREAT, 0.5)})
     scope = 3
     negation = {(s, NEGATION): (scope, NEGATION, 0.0) for s in range(scope + 1)}
     for s in range(1, scope + 1):
         negation |= {(s, x): (s - 1, x, 1.0) for x in (O, TARGET, REPORT)}
-        negation |= {(s, INSULT): (s - 1, DENIED, 1.0), (s, THREAT): (s - 1, DENIED_THREAT, 1.0)}
-    report = {(0, REPORT): (1, REPORT, 0.0), (1, INSULT): (1, TOLD, 1.0), (1, THREAT): (1, TOLD_THREAT, 1.0)}
-    # States of the scorer: 0 no target, 1 a target stands in the clause. Threats count with a target only, denied and told ones less than direct ones.
-    scorer = {(s, TARGET): (1, TARGET, 0.0) for s in range(2)}
-    for s in range(2):
-        scorer |= {
-            (s, INSULT): (s, INSULT, 1.25 if s == 1 else 1.0),
-            (s, THREAT): (s, THREAT, 0.5 * s),
-            (s, DENIED): (s, DENIED, 0.5),
-            (s, TOLD): (s, TOLD, 0.75),
-            (s, DENIED_THREAT): (s, DENIED_THREAT, 0.25 * s),
-            (s, TOLD_THREAT): (s, TOLD_THREAT, 0.375 * s),
-            (s, O): (s, O, 0.0),
-            (s, NEGATION): (s, NEGATION, 0.0),
-            (s, REPORT): (s, REPORT, 0.0),
-        }
-    return Transducer(negation).then(Transducer(report)).then(Transducer(scorer))
+        negation |= {(s, INSULT): (s - 1, DENIED, 0.5), (s, THREAT): (s - 1, DENIED_THREAT, 0.5)}
+    report = {(0, REPORT): (1, REPORT, 0.0), (1, INSULT): (1, TOLD, 0.75), (1, THREAT): (1, TOLD_THREAT, 0.75)}
+    # States of the target's transducer: 0 no target, 1 a target stands in the clause.
+    target = {(s, TARGET): (1, TARGET, 0.0) for s in range(2)}
+    target |= {(0, threat): (0, threat, 0.0) for threat in (THREAT, DENIED_THREAT, TOLD_THREAT)} | {(1, INSULT): (1, INSULT, 1.25)}
+    return insult.then(threat).then(Transducer(negation)).then(Transducer(report)).then(Transducer(target))
+
+
+class LetterAutomaton:
+    """Words and stems (beginnings of words) as a tree of letters; reading a word gives its symbol and weight."""
+
+    def __init__(self, words: dict[str, tuple[int, float]], stems: dict[str, tuple[int, float]]):
+        self.root: dict = {}
+        for at, entries in (("whole", words), ("stem", stems)):
+            for entry, output in entries.items():
+                node = self.root
+                for letter in entry:
+                    node = node.setdefault(letter, {})
+                node[at] = max(output, node.get(at, output), key=lambda x: x[1])
+
+    def read(self, word: str) -> tuple[int, float]:
+        node, best = self.root, (O, 0.0)
+        for letter in word:
+            node = node.get(letter)
+            if node is None:
+                return best
+            best = max(best, node.get("stem", best), key=lambda x: x[1])
+        whole = node.get("whole", best)
+        return whole if whole[1] >= best[1] else best
 
 
 @dataclass(frozen=True)
@@ -127,26 +145,25 @@ class ToxicityModel:
             import ahocorasick
 
             found = ahocorasick.Automaton()
-            threats = dict.fromkeys(THREATS.split(), 1.0)
+            threats = dict.fromkeys(THREATS.split(), (THREAT, DEFAULT_WEIGHT))
             for entry in {*self.words, *self.stems, *threats}:
                 found.add_word(entry, len(entry))
             found.make_automaton()
-            closed = {w: k for k, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws.split()}
-            self.cache.update(found=found, closed=closed, arcs=grammar())
-        return self.cache["found"], self.cache["closed"], self.cache["arcs"]
-
-    def symbol(self, word: str, closed: dict[str, int]) -> tuple[int, float]:
-        weight = self.words.get(word, 0.0)
-        for n in STEM_LENGTHS:
-            weight = max(weight, self.stems.get(word[:n], 0.0))
-        if weight > 0:
-            return INSULT, weight
-        kind = closed.get(word, O)
-        return kind, DEFAULT_WEIGHT if kind == THREAT else 0.0
+            closed = {w: (kind, 0.0) for kind, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words.split()}
+            insults = [{w: (INSULT, x) for w, x in entries.items() if x > 0} for entries in (self.words, self.stems)]
+            # What is known as an insult is read as one, whatever else it may be.
+            self.cache.update(found=found, insults=LetterAutomaton(*insults), others=LetterAutomaton(threats | closed, {}), arcs=grammar())
+        return self.cache["found"], self.cache["arcs"]
+
+    def symbol(self, word: str) -> tuple[int, float]:
+        insult = self.cache["insults"].read(word)
+        if insult[0] != O:
+            return insult
+        return self.cache["others"].read(word)
 
     def clauses(self, text: str) -> list[tuple[int, int, float]]:
         """Start, end and weight of each clause of the lower-cased text that the grammar matches."""
-        found, closed, arcs = self._compiled()
+        found, arcs = self._compiled()
         hits = sorted({end + 1 - size for end, size in found.iter(text) if end == size - 1 or not text[end - size].isalnum()})
         if not hits:
             return []
@@ -155,7 +172,7 @@ class ToxicityModel:
             first = bisect.bisect_left(hits, lo)
             if first < len(hits) and hits[first] < cut_at[0]:
                 state, total = arcs.start, 0.0
-                read = [self.symbol(word, closed) for word in WORD.findall(text, lo, cut_at[0])]
+                read = [self.symbol(word) for word in WORD.findall(text, lo, cut_at[0])]
                 # A target counts for all of its clause, so the clause is read as if it began with it.
                 if any(kind == TARGET for kind, _ in read):
                     state = arcs.step(state, TARGET)[0]
@@ -185,7 +202,11 @@ def entries_of(text: str) -> set[tuple[bool, str]]:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Fit lexicon and map on the bounded sample. Counts are made on the executors; at most MOST_ENTRIES come back."""
+    """Fit lexicon and map on the bounded sample. Counts are made on the executors.
+
+    A learned entry is in a ``LEAST_SHARE``-th of the sample's toxic texts, so no more of them come back than
+    ``1 / LEAST_SHARE`` times the entries of a text.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     sample = id_and_text(docs).join(F.broadcast(chosen), "doc_id")
@@ -195,7 +216,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             least = [int(s.view(np.int64)[0]) if len(s) else 0 for s in map(shingles, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), *batch.columns], names=["least", "doc_id", "text", "toxic"])
 
-    sample = cut(sample.mapInArrow(keyed, "least long, doc_id long, text string, toxic int").dropDuplicates(["least", "toxic"]).select("text", "toxic"))
+    first = F.min(F.struct("doc_id", "text"))["text"]
+    sample = cut(sample.mapInArrow(keyed, "least long, doc_id long, text string, toxic int").groupBy("least", "toxic").agg(first.alias("text")).select("text", "toxic"))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     fixed = dict.fromkeys(INSULTS.split(), DEFAULT_WEIGHT)
@@ -217,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     counts = sample.select("text", "toxic").mapInArrow(counted, "stem boolean, entry string, bad long, good long").groupBy("stem", "entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     ratio = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
     top = counts.where(F.col("bad") >= max(LEAST_TEXTS, LEAST_SHARE * toxic)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_LOG_RATIO)
-    rows = top.orderBy(F.desc("bad"), "entry", "stem").limit(MOST_ENTRIES).collect()
+    rows = top.collect()
     # A fixed insult that the sample knows as harmless leaves; others keep the default weight until they are learned.
     harmless = {r["entry"] for r in counts.where(~F.col("stem") & F.col("entry").isin(*fixed) & (F.col("good") * toxic > F.col("bad") * clean)).select("entry").collect()}
     words = {w: x for w, x in fixed.items() if w not in harmless} | {r["entry"]: min(MOST_WEIGHT, r["ratio"]) for r in rows if not r["stem"]}
@@ -228,7 +250,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([round(model.total(t), 1) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], names=["total", "toxic"])
 
-    seen = sample.mapInArrow(totals, "total double, toxic int").groupBy(F.least("total", F.lit(99.0)).alias("total"), "toxic").agg(F.count("*").alias("n")).collect()
+    seen = sample.mapInArrow(totals, "total double, toxic int").groupBy(F.least("total", F.lit(MOST_TOTAL)).alias("total"), "toxic").agg(F.count("*").alias("n")).collect()
     slope, offset = fit(np.array([(r["total"], float(r["toxic"] == 1), r["n"]) for r in sorted(seen)]))
     return ToxicityModel(words, stems, slope, offset)
 

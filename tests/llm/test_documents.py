@@ -346,3 +346,37 @@ def test_toxicity_clauses():
         "we kill time": 0.0, "idiot, you": 5.0, "you idiot": 5.0, "scum, all of you": 7.5, "an idiot": 4.0, "you are not an idiot": 2.0, "no idiot": 2.0, "kill. You": 0.0,
     }
     assert {text: model.total(text) for text in wanted} == wanted
+
+
+def plain_total(model, text):
+    """The grammar's rules, clause by clause, without transducers."""
+    listed = {k: set(w.split()) for k, w in (("threat", toxicity.THREATS), ("target", toxicity.TARGETS), ("not", toxicity.NEGATIONS), ("told", toxicity.REPORTS))}
+    total = 0.0
+    for clause in re.split(r"[.!?;:\n]+", text.lower()):
+        words = re.findall(r"\w+", clause)
+        weights = [max([model.words.get(w, 0.0), *(x for s, x in model.stems.items() if w.startswith(s))]) for w in words]
+        kinds = ["insult" if x > 0 else next((k for k, ws in listed.items() if w in ws), "") for w, x in zip(words, weights, strict=True)]
+        aimed, denied, told = "target" in kinds, 0, False
+        for kind, weight in zip(kinds, weights, strict=True):
+            if kind == "not":
+                denied = 4
+            told = told or kind == "told"
+            if kind == "insult":
+                total += weight * (0.5 if denied > 0 else 0.75 if told else 1.25 if aimed else 1.0)
+            if kind == "threat" and aimed:
+                total += toxicity.DEFAULT_WEIGHT * 0.5 * (0.5 if denied > 0 else 0.75 if told else 1.0)
+            denied -= 1
+    return total
+
+
+def test_toxicity_scores_by_plain_rules(spark, sf_dir, rows):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    again = toxicity.learn(docs.repartition(3).union(docs.limit(20)), labels.orderBy("doc_id"))
+    assert (model.words, model.stems) == (again.words, again.stems)
+    draw = random.Random(8)
+    lists = [toxicity.INSULTS, toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS]
+    made = [" ".join(draw.choice([draw.choice(draw.choice(lists).split()), "word", "and.", "so;"]) for _ in range(12)) for _ in range(300)]
+    for text in [t for _, t in rows[:120]] + made + [" ".join(made) * 20]:
+        assert abs(model.total(text) - plain_total(model, text)) < 1e-6, text[:200]
