@@ -1,7 +1,7 @@
 """Corpus pipeline: quality rules, toxicity, MinHash near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the shared
-checkpoint folder and reads it again as the next stage's documents. All stages but the last return the columns that they
+checkpoint folder and reads it again as the next stage's documents; what came before is then removed. All stages but the last return the columns that they
 got. Null, empty and very long texts, repeated rows, empty tables and further columns are handled as the operators'
 docstrings state; documents without 50 words, null texts among them, do not pass the first stage.
 """
@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgewise.functions.session import checkpoint_dir
+from edgewise.functions.session import checkpoint_dir, remove
 from edgewise.llm import neardup, packing, quality, queries, toxicity
 from edgewise.llm.common import table
 
@@ -42,7 +42,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
