@@ -69,7 +69,7 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(adjacency(spark, sf_dir))
+    return traverse.dealt(adjacency(spark, sf_dir))
 
 
 def first_root(adj: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def first_root(adj: DataFrame) -> DataFrame:
 def searched(spark: SparkSession, sf_dir: str, roots: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     adj = kept_adjacency(spark, sf_dir)
     keys = cut(first_root(adj) if roots == 1 else traverse.search_keys(matrix.degrees(adj), roots))
-    return adj, keys, traverse.multi_bfs(adj, keys)
+    return adj, keys, traverse.multi_bfs(adj, keys, is_dealt=True)
 
 
 # Traversal.
@@ -111,7 +111,7 @@ def search_summary(spark, sf_dir):
 ORDER_PART = "adj AS (SELECT DISTINCT 2 * l_orderkey AS src, 2 * l_partkey + 1 AS dst FROM lineitem UNION SELECT DISTINCT 2 * l_partkey + 1, 2 * l_orderkey FROM lineitem)"
 
 
-@query(bfs_sql(FIRST, ORDER_PART, 6) + "SELECT vertex, depth FROM depths")
+@query(bfs_sql(FIRST, ORDER_PART) + "SELECT vertex, depth FROM depths")
 def bfs_distance_order_part(spark, sf_dir):
     prepare(spark)
     edges = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
@@ -317,10 +317,10 @@ def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
     return frame.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in frame.dtypes])
 
 
-@query(stats_sql("SELECT o_totalprice AS x FROM orders ORDER BY o_orderkey LIMIT 63", 4))
+@query(stats_sql("SELECT o_totalprice AS x FROM orders", 4))
 def search_stats(spark, sf_dir):
     prepare(spark)
-    return rounded(stats.statistics(spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy("o_orderkey").limit(63), "o_totalprice"), 4)
+    return rounded(stats.statistics(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_totalprice"), 4)
 
 
 @query(stats_sql("SELECT s_suppkey::DOUBLE + 1 AS x FROM supplier"))
@@ -426,25 +426,25 @@ def scan_max(spark, sf_dir):
     return primitives.scan(positioned(spark, sf_dir), ["key"], op="max")
 
 
-@query(POSITIONED + "SELECT position, key, value FROM t ORDER BY key, position LIMIT 500")
+@query(POSITIONED + "SELECT position, key, value FROM t ORDER BY key, position")
 def radix_sort_kv(spark, sf_dir):
-    return primitives.sort_pairs(positioned(spark, sf_dir)).limit(500)
+    return primitives.sort_pairs(positioned(spark, sf_dir))
 
 
-@query(POSITIONED + "SELECT position, key, value FROM t ORDER BY (key >> 2) & 31, position LIMIT 500")
+@query(POSITIONED + "SELECT position, key, value FROM t ORDER BY (key >> 2) & 31, position")
 def bitfield_sort(spark, sf_dir):
-    return primitives.sort_pairs(positioned(spark, sf_dir), start_bit=2, bits=5).limit(500)
+    return primitives.sort_pairs(positioned(spark, sf_dir), start_bit=2, bits=5)
 
 
-# The two queries before return the first 500 rows; these return all.
+# The same with each row's place in the order.
 @query(POSITIONED + "SELECT position, key, value, row_number() OVER (ORDER BY key, position) - 1 AS rank FROM t")
 def radix_sort_kv_ranks(spark, sf_dir):
-    return primitives.sort_ranks(positioned(spark, sf_dir))
+    return primitives.pair_ranks(positioned(spark, sf_dir))
 
 
 @query(POSITIONED + "SELECT position, key, value, row_number() OVER (ORDER BY (key >> 2) & 31, position) - 1 AS rank FROM t")
 def bitfield_sort_ranks(spark, sf_dir):
-    return primitives.sort_ranks(positioned(spark, sf_dir), start_bit=2, bits=5)
+    return primitives.pair_ranks(positioned(spark, sf_dir), start_bit=2, bits=5)
 
 
 @query(POSITIONED + "SELECT position, key, value, key % 8 AS bin, row_number() OVER (ORDER BY key % 8, position) - 1 AS slot FROM t")

@@ -47,18 +47,26 @@ def sort_pairs(frame: DataFrame, key: str = "key", start_bit: int | None = None,
     return frame.orderBy(order, "position")
 
 
-def sort_ranks(frame: DataFrame, key: str = "key", start_bit: int | None = None, bits: int | None = None) -> DataFrame:
-    """Add ``rank``, the place of every row from 0 on in the order of ``sort_pairs``.
+def sort_ranks(frame: DataFrame, keys: list[str | Column]) -> DataFrame:
+    """Add ``rank``, the place of every row from 0 on in the order of ``keys``; rows of equal keys in any order.
 
     Two levels: rows are dealt out by ranges of the order, the ranges' counts scanned, and each range is numbered from there.
     """
-    order = F.col(key) if start_bit is None else F.shiftrightunsigned(key, start_bit).bitwiseAND((1 << bits) - 1)
-    rows = cut(frame.withColumn("sort_order", order).repartitionByRange("sort_order", "position").withColumn("sort_part", F.spark_partition_id()))
-    counts = rows.groupBy("sort_part").agg(F.count("*").alias("n"))
-    bases = counts.select("sort_part", F.coalesce(F.sum("n").over(Window.orderBy("sort_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("sort_part").orderBy("sort_order", "position")) - 1
+    wide = "_" * max(map(len, frame.columns))
+    part, base, names = "part" + wide, "base" + wide, [f"key{k}{wide}" for k in range(len(keys))]
+    rows = frame.withColumns({n: F.col(k) if isinstance(k, str) else k for n, k in zip(names, keys, strict=True)})
+    rows = cut(rows.repartitionByRange(*names).withColumn(part, F.spark_partition_id()))
+    counts = rows.groupBy(part).agg(F.count("*").alias("n"))
+    bases = counts.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(base))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*names)) - 1
     # One row per range.
-    return rows.join(F.broadcast(bases), "sort_part").withColumn("rank", (F.col("base") + own).cast("long")).select(*frame.columns, "rank")
+    return rows.join(F.broadcast(bases), part).withColumn("rank", (F.col(base) + own).cast("long")).select(*frame.columns, "rank")
+
+
+def pair_ranks(frame: DataFrame, key: str = "key", start_bit: int | None = None, bits: int | None = None) -> DataFrame:
+    """Add ``rank``, the place of every row from 0 on in the order of ``sort_pairs``."""
+    order = F.col(key) if start_bit is None else F.shiftrightunsigned(key, start_bit).bitwiseAND((1 << bits) - 1)
+    return sort_ranks(frame, [order, "position"])
 
 
 def bit_order(value: Column) -> Column:

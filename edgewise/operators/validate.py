@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from edgewise.functions.session import cut
 
+from .traverse import depth_vectors
+
 UNVISITED = 65535
 
 
@@ -20,12 +22,17 @@ def validate(tree: DataFrame, raw_edges: DataFrame, roots: DataFrame, vertices:
     up = tree.select("root", F.col("vertex").alias("parent"), F.col("depth").alias("up"))
     depth = tree.join(up, ["root", "parent"], "left").groupBy("root").agg(F.bool_and((F.col("vertex") == F.col("root")) | F.coalesce(F.col("depth") == F.col("up") + 1, F.lit(False))).alias("depths_follow"))
     both = raw_edges.select("src", "dst").union(raw_edges.select("dst", "src"))
-    # An edge that misses both ends of a search cannot break its rule, so edges start from visited vertices.
-    spans = tree.select("root", F.col("vertex").alias("src"), F.col("depth").alias("d0")).join(both, "src")
-    ends = tree.select("root", F.col("vertex").alias("dst"), F.col("depth").alias("d1"))
-    span = spans.join(ends, ["root", "dst"], "left").groupBy("root").agg(F.bool_and(F.abs(F.col("d0") - F.coalesce("d1", F.lit(UNVISITED))) <= 1).alias("edges_span_one_level"), F.floor(F.count("*") / 2).cast("long").alias("nedge"))
+    # An edge that misses both ends of a search cannot break its rule, so edges start from visited vertices. They carry the
+    # depths of both ends under all roots at once; the rows for each root are made after the joins and summed up in place.
+    vectors, places = depth_vectors(tree)
+    starts = vectors.select(F.col("vertex").alias("src"), F.col("depths").alias("d0"))
+    ends = vectors.select(F.col("vertex").alias("dst"), F.col("depths").alias("d1"))
+    span = both.join(starts, "src").join(ends, "dst", "left").select("d1", F.posexplode("d0").alias("k", "here")).where("here IS NOT NULL")
+    one_level = F.abs(F.col("here") - F.coalesce(F.get("d1", F.col("k")), F.lit(UNVISITED))) <= 1
+    span = span.groupBy("k").agg(F.bool_and(one_level).alias("edges_span_one_level"), F.floor(F.count("*") / 2).cast("long").alias("nedge"))
+    span = span.join(F.broadcast(places), "k").drop("k")
     claimed = tree.where("vertex <> root").select("root", F.col("parent").alias("src"), F.col("vertex").alias("dst"))
-    missing = claimed.join(both.distinct(), ["src", "dst"], "left_anti").groupBy("root").agg(F.count("*").alias("missing_edges"))
+    missing = claimed.join(both, ["src", "dst"], "left_anti").groupBy("root").agg(F.count("*").alias("missing_edges"))
     out = roots.join(by_root, "root", "left").join(depth, "root", "left").join(span, "root", "left").join(missing, "root", "left")
     rules = ["parents_in_range", "root_is_own_parent", "no_other_own_parent", "depths_follow", "edges_span_one_level"]
     out = out.select(
@@ -39,16 +46,19 @@ def validate(tree: DataFrame, raw_edges: DataFrame, roots: DataFrame, vertices:
     return out.withColumn("valid", valid)
 
 
-def depths_from_parents(tree: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """root, vertex, depth recomputed from parents alone, by doubling; vertices on cycles or cut off are left out."""
+def depths_from_parents(tree: DataFrame) -> DataFrame:
+    """root, vertex, depth recomputed from parents alone, by doubling; vertices on cycles, behind them or cut off are left out.
+
+    A way that is longer than the tree has rows is on a cycle; such rows leave, and those that need them with them, so there
+    are about as many rounds as the number of rows has binary digits, at most.
+    """
     ways = cut(tree.select("root", "vertex", F.col("parent").alias("up"), F.when(F.col("parent") == F.col("vertex"), 0).otherwise(1).cast("long").alias("depth")))
-    for _ in range(max_rounds):
+    longest = ways.count()
+    while not ways.where("up <> root").isEmpty():
         above = ways.select("root", F.col("vertex").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        next_ = cut(ways.join(above, ["root", "up"]).select("root", "vertex", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth")))
-        done = next_.where("up <> root").isEmpty()
-        ways = next_
-        if done:
-            break
+        further = ways.join(above, ["root", "up"]).select("root", "vertex", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        # Another vertex that is its own parent is the end of a way that does not lead to the root.
+        ways = cut(further.where((F.col("depth") <= longest) & ((F.col("up") != F.col("vertex")) | (F.col("up") == F.col("root")))))
     return ways.where("up = root").select("root", "vertex", "depth")
 
 
@@ -58,11 +68,26 @@ def distances_differ(one: DataFrame, two: DataFrame) -> DataFrame:
     return a.join(b, ["root", "vertex"], "full").where(~F.col("depth_a").eqNullSafe(F.col("depth_b")))
 
 
+#: Positions in one range of the two-level check of a queue.
+RANGE = 1 << 16
+
+
 def queue_check(queue: DataFrame, vertices: int) -> DataFrame:
-    """For rows (position, vertex): length, in_range, sorted and unique."""
-    rows = queue.withColumn("before", F.lag("vertex").over(Window.orderBy("position")))
+    """For rows (position, vertex): length, in_range, and increasing (sorted and unique).
+
+    In two levels: within ranges of positions, then between the ends of neighbouring ranges.
+    """
+    rows = queue.select("position", "vertex", F.floor(F.col("position") / RANGE).alias("part"))
+    rows = rows.withColumn("before", F.lag("vertex").over(Window.partitionBy("part").orderBy("position")))
     up = F.col("before").isNull() | (F.col("before") < F.col("vertex"))
-    return rows.agg(F.count("*").alias("length"), F.coalesce(F.bool_and(F.col("vertex").between(0, vertices - 1)), F.lit(True)).alias("in_range"), F.coalesce(F.bool_and(up), F.lit(True)).alias("increasing"))
+    parts = rows.groupBy("part").agg(
+        F.count("*").alias("n"), F.bool_and(F.col("vertex").between(0, vertices - 1)).alias("inside"), F.bool_and(up).alias("up"),
+        F.min_by("vertex", "position").alias("first"), F.max_by("vertex", "position").alias("last"),
+    )
+    # One row for each range.
+    parts = parts.withColumn("before", F.lag("last").over(Window.orderBy("part")))
+    joined = F.col("up") & (F.col("before").isNull() | (F.col("before") < F.col("first")))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("length"), F.coalesce(F.bool_and("inside"), F.lit(True)).alias("in_range"), F.coalesce(F.bool_and(joined), F.lit(True)).alias("increasing"))
 
 
 def gather(requests: DataFrame, values: DataFrame) -> DataFrame:

@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def quartile(sorted_values: Column, k: int) -> Column:
-    """The mean of the two values around k/4 of the list where that falls between two, else the value there."""
-    n = F.size(sorted_values)
-    at = F.floor(n * k / 4).cast("int")
-    upper = F.element_at(sorted_values, F.least(at + 1, n))
-    return F.when((n * k) % 4 == 0, (F.element_at(sorted_values, F.greatest(at, F.lit(1))) + upper) / 2).otherwise(upper)
+from edgewise.operators.primitives import sort_ranks
 
 
 def statistics(runs: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """min, q1, median, q3, max, mean, stddev, hmean, hstddev of ``value`` over the searches of a run."""
+    """min, q1, median, q3, max, mean, stddev, hmean, hstddev of ``value`` over the searches of a run.
+
+    A quartile is the mean of the two values around k/4 of the order where that falls between two, else the value there.
+    Values are ranked in two levels, so no task holds all of them.
+    """
+    by = by or []
     x = F.col(value).cast("double")
-    rows = runs.where(x.isNotNull())
-    parts = rows.groupBy(*(by or [])).agg(
-        F.sort_array(F.collect_list(x)).alias("xs"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("stddev"),
-        F.count("*").alias("n"), F.sum(1 / x).alias("inverse"), F.sum(1 / x / x).alias("inverse2"),
+    rows = runs.where(x.isNotNull()).select(*by, x.alias("x"))
+    parts = rows.groupBy(*by).agg(
+        F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev"), F.min("x").alias("min"), F.max("x").alias("max"),
+        F.count("*").alias("n"), F.sum(1 / F.col("x")).alias("inverse"), F.sum(1 / F.col("x") / F.col("x")).alias("inverse2"),
     )
+    ranked = sort_ranks(rows, [*by, "x"])
+    sizes = ranked.groupBy(*by).agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
+    placed = ranked.alias("r").join(F.broadcast(sizes.alias("s")) if not by else sizes.alias("s"), functools.reduce(Column.__and__, same, F.lit(True)))
+    at, n = F.col("rank") - F.col("first"), F.col("n")
+    picks = []
+    for k in (1, 2, 3):
+        upper = F.least(F.floor(n * k / 4), n - 1)
+        lower = F.when(n * k % 4 == 0, upper - 1).otherwise(upper)
+        picks.append(((F.max(F.when(at == upper, F.col("x"))) + F.max(F.when(at == lower, F.col("x")))) / 2).alias(f"q{k}"))
+    quartiles = placed.groupBy(*[F.col(f"r.{c}").alias(c) for c in by]).agg(*picks)
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by]
+    parts = parts.alias("p").join(quartiles.alias("q"), functools.reduce(Column.__and__, same, F.lit(True)))
     hmean = F.col("n") / F.col("inverse")
     # Sum of squared deviations of 1/x from 1/h.
     spread = F.greatest(F.col("inverse2") - F.col("inverse") * F.col("inverse") / F.col("n"), F.lit(0.0))
     return parts.select(
-        *(by or []), "n", F.get("xs", F.lit(0)).alias("min"), quartile(F.col("xs"), 1).alias("q1"), quartile(F.col("xs"), 2).alias("median"), quartile(F.col("xs"), 3).alias("q3"),
-        F.element_at("xs", -1).alias("max"), "mean", "stddev", hmean.alias("hmean"), (F.sqrt(spread) / F.nullif(F.col("n") - 1, F.lit(0)) * hmean * hmean).alias("hstddev"),
+        *[F.col(f"p.{c}").alias(c) for c in by], "n", "min", "q1", F.col("q2").alias("median"), "q3", "max", "mean", "stddev", hmean.alias("hmean"),
+        (F.sqrt(spread) / F.nullif(F.col("n") - 1, F.lit(0)) * hmean * hmean).alias("hstddev"),
     )
 
 

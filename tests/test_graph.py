@@ -184,7 +184,7 @@ def test_sort_ranks_of_all_rows(spark):
     rows = [(p, (p * 7919) % 97, p % 5) for p in range(2000)]
     frame = spark.createDataFrame(rows, "position long, key long, value long")
     for bits, order in (({}, lambda r: (r[1], r[0])), ({"start_bit": 2, "bits": 3}, lambda r: (r[1] >> 2 & 7, r[0]))):
-        got = sorted(map(tuple, primitives.sort_ranks(frame, **bits).collect()), key=lambda r: r[3])
+        got = sorted(map(tuple, primitives.pair_ranks(frame, **bits).collect()), key=lambda r: r[3])
         assert got == [(*r, k) for k, r in enumerate(sorted(rows, key=order))]
 
 
@@ -192,3 +192,25 @@ def test_benchmark_run(spark):
     report = benchmark.run(spark, 7, searches=8)
     assert report.runs.where("valid").count() == 8 and report.runs.where("nedge = 2048").count() == 8
     assert report.teps.first()["n"] == 8 and "Validation: passed" in report.lines() and abs(sum(report.shares().values()) - 1) < 1e-9
+
+
+def test_depths_of_broken_parents(spark):
+    """Cycles, what hangs on them, vertices cut off and other roots are left out, in few rounds."""
+    rows = [(0, 0, 0), (0, 1, 0), (0, 2, 3), (0, 3, 2), (0, 4, 3), (0, 5, 99), (0, 6, 6), (0, 7, 6), (0, 8, 1), *((0, k, k - 1) for k in range(100, 140)), *((7, k, k - 1) for k in range(8, 60)), (7, 7, 7)]
+    got = {(r["root"], r["vertex"]): r["depth"] for r in depths_from_parents(spark.createDataFrame(rows, "root long, vertex long, parent long")).collect()}
+    assert got == {(0, 0): 0, (0, 1): 1, (0, 8): 2} | {(7, k): k - 7 for k in range(7, 60)}
+
+
+def test_queue_check_between_ranges(spark, monkeypatch):
+    from edgewise.operators import validate as module
+
+    monkeypatch.setattr(module, "RANGE", 3)
+    for vertices, increasing in (([1, 2, 3, 4, 5, 6, 7], True), ([1, 2, 3, 3, 5, 6, 7], False), ([1, 2, 9, 4, 5, 6], False), ([5], True)):
+        row = queue_check(spark.createDataFrame(list(enumerate(vertices)), "position long, vertex long"), 100).first()
+        assert (row["length"], row["in_range"], row["increasing"]) == (len(vertices), True, increasing)
+
+
+def test_statistics_by_group(spark):
+    frame = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 7.0), (None, 5.0), (None, 6.0), ("b", None)], "g string, x double")
+    got = {r["g"]: (r["n"], r["min"], r["q1"], r["median"], r["q3"], r["max"]) for r in stats.statistics(frame, "x", ["g"]).collect()}
+    assert got == {"a": (4, 1.0, 1.5, 2.5, 3.5, 4.0), "b": (1, 7.0, 7.0, 7.0, 7.0, 7.0), None: (2, 5.0, 5.0, 5.5, 6.0, 6.0)}
