@@ -3,10 +3,12 @@
 A text is cut by the vocabulary's split pattern. Within a piece, the tree's leaves hold ``rank * width + position`` of
 the pair that begins at each live position, so the root is the leftmost pair of lowest rank. A merge links its
 neighbours together and updates the points whose pairs it changed, each along one path to the root, until no leaf holds a
-pair that can merge. Pieces of like length go through these steps side by side, as rows of one numpy array.
+pair that can merge. Pieces of like length go through these steps side by side, as rows of one numpy array; long pieces,
+of which there are few, go one by one, with the tree in a list.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; strings of special tokens become their ids,
-as in the library's default; repeated rows get equal rows; other columns are ignored.
+as in the library's default; very long texts are encoded whole, and a piece of n bytes takes n log n steps; of equal ranks
+the leftmost pair merges; an empty table gives no rows; repeated rows get equal rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ full but for the last tokens, which are cut into sequences whose lengths are pow
 A group is what one task reads in a row, up to ``GROUP_TOKENS``. There is no shuffle, and a lost task makes the same
 pieces again. Sequence ids count from ``partition << 33`` on.
 
-Defined cases: a null or empty text is a document of the end id alone; repeated rows are packed once each; documents of
+Defined cases: a null or empty text is a document of the end id alone; a very long text is cut into as many pieces as it
+needs, in a group that ends after it; an empty table gives no rows; repeated rows are packed once each; documents of
 equal cost go in order of doc_id, then of their place in the input; other columns are ignored.
 """
 

@@ -3,7 +3,7 @@
 Rolling hashes of several n-gram lengths, in numpy, measure how many characters of a text lie inside n-grams or lines
 that occur before or again in the same text. No shuffle: a text is judged alone.
 
-Defined cases: a null or empty text has no words and fails the base rule (fewer than 50 words); repeated rows get equal
+Defined cases: a very long text is measured whole; an empty table gives no rows; a null or empty text has no words and fails the base rule (fewer than 50 words); repeated rows get equal
 rows; ties cannot occur; other columns of the input are ignored by ``quality_report`` and kept by ``quality_filter``.
 """
 

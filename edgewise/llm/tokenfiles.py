@@ -8,7 +8,7 @@ a document's end. A shard's blob holds the rules, their expansion lengths, each
 in as many bytes as they need, so a document is decoded without its shard's other documents, and a position within it is
 found from the expansion lengths. Shards are written by Spark's own writer, as rows of parquet files in a shared folder.
 
-Defined cases: a null or empty text is the end id alone; documents of equal doc_id are in order of their texts; rows
+Defined cases: a null or empty text is the end id alone; a very long text ends its shard, which is then longer; documents of equal doc_id are in order of their texts; rows
 without doc_id come first; repeated rows are written once each; an empty table gives no shards; other columns are
 ignored.
 """
