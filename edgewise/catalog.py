@@ -540,6 +540,35 @@ def integer_lists(spark, sf_dir):
     return generators.integer_lists(spark, 50, 200, "clustered")
 
 
+@query(LISTS + "SELECT id, 32.0::DOUBLE AS copied, true AS same_threshold FROM l")
+def codec_bits_per_integer(spark, sf_dir):
+    """Bits of a copied integer, and a round trip through blobs that hold short lists as they are."""
+    marked = codecs.encode_marked("ys", threshold=4)
+    lists = part_lists(spark, sf_dir)
+    return lists.select("id", codecs.bits_per_integer(codecs.encode("ys", "copy"), F.col("ys")).alias("copied"), (codecs.decode_marked(marked) == F.col("ys")).alias("same_threshold"))
+
+
+# Runs.
+@query("SELECT o_orderstatus AS run, metric, value FROM (SELECT o_orderstatus, 'SCALE' AS metric, count(*)::VARCHAR AS value FROM orders GROUP BY o_orderstatus UNION ALL SELECT o_orderstatus, 'mean_time', min(o_orderkey)::VARCHAR FROM orders GROUP BY o_orderstatus UNION ALL SELECT DISTINCT o_orderstatus, 'Validation', 'passed' FROM orders)")
+def run_logs(spark, sf_dir):
+    return logs_of(spark, sf_dir)
+
+
+@query("SELECT o_orderkey AS root, o_custkey / ((o_orderkey % 97 + 1) / 8.0::DOUBLE) AS teps, o_custkey / ((o_orderkey % 97 + 1) / 8.0::DOUBLE) / 1e6::DOUBLE AS mi_edges FROM orders")
+def edge_rates(spark, sf_dir):
+    runs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("root"), F.col("o_custkey").alias("nedge"), ((F.col("o_orderkey") % 97 + 1) / F.lit(8.0)).alias("seconds"))
+    return stats.edge_rates(runs).select("root", "teps", "mi_edges")
+
+
+@query("WITH c AS (SELECT o_orderpriority AS metric, count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS value_a, count(*) FILTER (o_orderstatus = 'O')::DOUBLE AS value_b FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderpriority) SELECT metric, value_a, value_b, value_b / value_a AS ratio FROM c UNION ALL SELECT 'SCALE', 5.0, 5.0, 1.0")
+def run_comparison(spark, sf_dir):
+    prepare(spark)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    checks = spark.range(1).selectExpr("inline(array(struct('SCALE' AS metric, '5' AS value), struct('Validation' AS metric, 'passed' AS value)))")
+    first, second = (orders.where(F.col("o_orderstatus") == status).groupBy(F.col("o_orderpriority").alias("metric")).agg(F.count("*").cast("string").alias("value")).union(checks) for status in ("F", "O"))
+    return stats.compare_runs(first, second)
+
+
 # Files: written to and read from the shared checkpoint folder.
 def folder(spark: SparkSession) -> str:
     prepare(spark)
@@ -579,8 +608,7 @@ def logs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("k"))
     lines = F.array(F.concat(F.lit("SCALE: "), "n"), F.concat(F.lit("mean_time: "), "k"), F.lit("Validation: passed"), F.lit("free text"))
     rows.select("o_orderstatus", F.array_join(lines, "\n").alias("value")).write.partitionBy("o_orderstatus").text(path)
-    logs = spark.read.text(path).select(F.col("o_orderstatus").alias("run"), "value")
-    return logs.select("run", F.split("value", ": ").alias("p")).where("size(p) = 2").select("run", F.col("p")[0].alias("metric"), F.col("p")[1].alias("value"))
+    return files.read_log(spark, path, "o_orderstatus")
 
 
 @query("SELECT o_orderstatus AS run, count(*)::VARCHAR AS scale, min(o_orderkey)::VARCHAR AS mean_time, '-' AS harmonic_mean_TEPS, '-' AS median_TEPS, '-' AS generation_time, '-' AS construction_time FROM orders GROUP BY o_orderstatus")

@@ -118,21 +118,25 @@ class VariableByte(Codec):
         self.stop = stop
 
     def body(self, ds: np.ndarray) -> bytes:
-        out = bytearray()
-        for d in ds.tolist():
-            groups = [d >> 7 * k & 127 for k in range(max(1, (d.bit_length() + 6) // 7))]
-            out += bytes([g | 128 * ((k == len(groups) - 1) == self.stop) for k, g in enumerate(groups)])
-        return bytes(out) + (b"\x00" if self.stop else b"\xff") * (-len(out) % 4)
+        ds = ds.astype(np.int64)
+        sizes = 1 + sum((ds >= 1 << 7 * k).astype(np.int64) for k in range(1, 10 if ds.max(initial=0) >> 35 else 5))
+        ends = np.cumsum(sizes)
+        place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        out = (np.repeat(ds, sizes) >> 7 * place & 127).astype(np.uint8)
+        last = np.zeros(len(out), bool)
+        last[ends - 1] = True
+        out[last == self.stop] |= 128
+        return out.tobytes() + (b"\x00" if self.stop else b"\xff") * (-len(out) % 4)
 
     def values(self, data: bytes) -> np.ndarray:
-        out, value, shift = [], 0, 0
-        for byte in data:
-            value |= (byte & 127) << shift
-            shift += 7
-            if (byte > 127) == self.stop:
-                out.append(value)
-                value = shift = 0
-        return np.array(out, np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        # Padding never ends a value.
+        ends = np.flatnonzero((raw >= 128) == self.stop)
+        if not len(ends):
+            return np.zeros(0, np.int64)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        place = np.arange(int(ends[-1]) + 1) - np.repeat(starts, ends - starts + 1)
+        return np.add.reduceat((raw[: len(place)] & 127).astype(np.int64) << 7 * place, starts)
 
 
 def _byte_lengths(ds: np.ndarray) -> np.ndarray:
@@ -331,5 +335,25 @@ def decode(data: Column | str, name: str = DEFAULT) -> Column:
     return F.pandas_udf(run, "array<long>")(data)
 
 
+def encode_marked(xs: Column | str, name: str = DEFAULT, threshold: int = THRESHOLD) -> Column:
+    """``compress`` of a column of lists."""
+
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else compress(x, name, threshold) for x in lists], dtype=object)
+
+    run.__annotations__ = {"lists": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "binary")(xs)
+
+
+def decode_marked(data: Column | str, name: str = DEFAULT) -> Column:
+    """``decompress`` of a column of blobs."""
+
+    def run(blobs: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else decompress(x, name).tolist() for x in blobs], dtype=object)
+
+    run.__annotations__ = {"blobs": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<long>")(data)
+
+
 def bits_per_integer(data: Column, xs: Column) -> Column:
     return F.octet_length(data) * 8.0 / F.size(xs)

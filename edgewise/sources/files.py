@@ -92,7 +92,8 @@ def write_matrix_market(edges: DataFrame, vertices: int, path: str) -> None:
     head.union(body).orderBy("o").select("value").write.text(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """run (file), metric and value of the ``key: value`` lines of run logs."""
-    line = F.regexp_extract("value", r"^\s*([A-Za-z_][\w ()/-]*?)\s*:\s+(.*?)\s*$", 1), F.regexp_extract("value", r"^\s*([A-Za-z_][\w ()/-]*?)\s*:\s+(.*?)\s*$", 2)
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("run"), line[0].alias("metric"), line[1].alias("value")).where("metric <> ''")
+def read_log(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """run (the file, or the partition column named), metric and value of the ``key: value`` lines of run logs."""
+    pattern = r"^\s*([A-Za-z_][\w ()/-]*?)\s*:\s+(.*?)\s*$"
+    lines = spark.read.text(path).select((F.col(run) if run else F.col("_metadata.file_name")).alias("run"), *[F.regexp_extract("value", pattern, k).alias(name) for k, name in ((1, "metric"), (2, "value"))])
+    return lines.where("metric <> ''")
