@@ -5,6 +5,7 @@ Main graph: parts and suppliers that share a line item; vertex 2 * key for parts
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -142,10 +143,17 @@ def bfs_user_event(spark, sf_dir):
     return traverse.level_counts(traverse.multi_bfs(adj, cut(first_root(adj))).drop("root"))
 
 
-@query("WITH " + DEG + ", f AS (SELECT vertex FROM deg WHERE degree % 3 = 0), g AS (SELECT vertex FROM deg WHERE degree % 2 = 0) SELECT DISTINCT vertex FROM (SELECT * FROM f UNION SELECT * FROM g) WHERE vertex >= 20 AND vertex < 900")
+@query(bfs_sql("SELECT DISTINCT src AS root FROM adj ORDER BY src LIMIT 2") + ", u AS (SELECT DISTINCT vertex FROM depths WHERE depth = 2), n AS (SELECT max(src) // 4 + 1 AS width FROM adj) SELECT vertex, (vertex // width)::INTEGER AS slice FROM u, n")
 def frontier_union_slice(spark, sf_dir):
-    deg = cut(matrix.degrees(adjacency(spark, sf_dir)))
-    return traverse.frontier_slice(traverse.frontier_union(deg.where("degree % 3 = 0"), deg.where("degree % 2 = 0")), 20, 900)
+    """The united third frontiers of two searches, cut into four slices that hold all vertices."""
+    adj, _, tree = searched(spark, sf_dir, 2)
+    tree = cut(tree.where("depth = 2"))
+    most = adj.agg(F.max("src")).first()[0]
+    first, last = tree.agg(F.min("root"), F.max("root")).first()
+    frontier = cut(traverse.frontier_union(tree.where(F.col("root") == first), tree.where(F.col("root") == last)))
+    width = most // 4 + 1
+    slices = [traverse.frontier_slice(frontier, k * width, (k + 1) * width).select("vertex", F.lit(k).alias("slice")) for k in range(4)]
+    return functools.reduce(DataFrame.union, slices)
 
 
 @query("WITH " + DEG + " SELECT count(*) AS marked FROM deg WHERE vertex > 0")
@@ -371,6 +379,27 @@ def kronecker_counts(spark, sf_dir):
     return matrix.removed_report(generators.kronecker(spark, 10))
 
 
+# Published counts by scale: generated, unique directed edges, removed ones.
+KRONECKER_COUNTS = ((5, 512, 322, 351), (7, 2048, 1906, 1095), (8, 4096, 4304, 1944), (9, 8192, 9694, 3345), (11, 32768, 45690, 9923), (13, 131072, 204442, 28851))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({s}, {g}, {u}, {r})" for s, g, u, r in KRONECKER_COUNTS) + ") AS t(scale, generated, unique_directed, removed)")
+def kronecker_scales(spark, sf_dir):
+    reports = [matrix.removed_report(generators.kronecker(spark, s)).select(F.lit(s).alias("scale"), "generated", "unique_directed", "removed") for s, *_ in KRONECKER_COUNTS]
+    return functools.reduce(DataFrame.union, reports)
+
+
+@query("SELECT true AS valid, 131070::BIGINT AS nedge, 6462::BIGINT AS reached")
+def kronecker_search(spark, sf_dir):
+    """A validated search of the scale 13 graph from its vertex of highest degree; published count of its edges."""
+    prepare(spark)
+    raw = cut(generators.kronecker(spark, 13))
+    adj = traverse.dealt(matrix.clean(raw))
+    roots = cut(matrix.degrees(adj).orderBy(F.desc("degree"), "vertex").limit(1).select(F.col("vertex").alias("root")))
+    tree = cut(traverse.multi_bfs(adj, roots, is_dealt=True))
+    return validate(tree, raw, roots, 1 << 13).select("valid", "nedge", F.lit(tree.count()).alias("reached"))
+
+
 @query()
 def kronecker(spark, sf_dir):
     return generators.kronecker(spark, 12)
@@ -523,6 +552,54 @@ def varint_size(spark, sf_dir):
     return part_lists(spark, sf_dir).select("id", F.octet_length(codecs.encode("ys", "varint")).cast("long").alias("encoded"))
 
 
+# Orders of each supplier: lists of several blocks. The sizes follow from the widths of differences alone.
+LONG = """WITH o AS (SELECT DISTINCT l_suppkey AS id, l_orderkey AS x FROM lineitem),
+p AS (SELECT id, x, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY id) AS n, lag(x, 1, 0) OVER w AS back_1, lag(x, 4, 0) OVER w AS back_4 FROM o WINDOW w AS (PARTITION BY id ORDER BY x)) """
+
+
+def packed_sql(name: str, back: str, block: int, head: int, group: int, group_bytes: int) -> str:
+    bits = f"(CASE WHEN x = {back} THEN 0 ELSE floor(log2(x - {back})) + 1 END)"
+    whole = "(n - n % 128)"
+    blocks = f"SELECT id, i // {block} AS b, max({bits}) AS width FROM p WHERE i < {whole} GROUP BY id, b"
+    sizes = f"SELECT id, sum({block // 8} * width) AS packed FROM ({blocks}) GROUP BY id"
+    tails = f"SELECT id, sum(greatest(1, ceil({bits} / 7))) AS rest FROM p WHERE i >= {whole} GROUP BY id"
+    counts = f"SELECT DISTINCT id, {head} + ceil({whole} / {block} / {group}) * {group_bytes} AS headers FROM p"
+    return f"SELECT id, (headers + coalesce(packed, 0) + 4 * ceil(coalesce(rest, 0) / 4))::BIGINT AS {name} FROM ({counts}) LEFT JOIN ({sizes}) USING (id) LEFT JOIN ({tails}) USING (id)"
+
+
+BYTES = "(CASE WHEN x - back_1 < 256 THEN 1 ELSE floor(log2(x - back_1) / 8) + 1 END)"
+
+
+@query(
+    f"{LONG}, a AS ({packed_sql('bp32', 'back_1', 32, 4, 4, 4)}), b AS ({packed_sql('bp128', 'back_1', 128, 16, 16, 16)}), c AS ({packed_sql('bp128_d4', 'back_4', 128, 16, 16, 16)}),"
+    f" d AS (SELECT id, (8 + ceil(max(n) / 4) + sum({BYTES}))::BIGINT AS streamvbyte, (4 * ceil((4 + ceil(max(n) / 4) + sum({BYTES})) / 4))::BIGINT AS varintgb FROM p GROUP BY id)"
+    " SELECT * FROM a JOIN b USING (id) JOIN c USING (id) JOIN d USING (id)"
+)
+def codec_sizes(spark, sf_dir):
+    names = {"bp32": "bp32", "bp128": "s4-bp128-d1", "bp128_d4": "s4-bp128-d4", "streamvbyte": "streamvbyte", "varintgb": "varintgb"}
+    return supplier_lists(spark, sf_dir).select("id", *[F.octet_length(codecs.encode("xs", c)).cast("long").alias(n) for n, c in names.items()])
+
+
+def supplier_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.groupBy(F.col("l_suppkey").alias("id")).agg(F.sort_array(F.collect_set("l_orderkey")).alias("xs"))
+
+
+ENCODED = ("s4-bp128-d1", "s4-bp128-d4", "s4-bp128-dm", "s4-fastpfor-d2", "bp32", "varint", "streamvbyte", "varintg8iu", "for")
+
+
+@query(LONG + "SELECT id, " + ", ".join(f"max(CASE WHEN i = 150 THEN x END) AS {n.replace('-', '_')}" for n in ENCODED) + " FROM p GROUP BY id")
+def encoded_select(spark, sf_dir):
+    return supplier_lists(spark, sf_dir).select("id", *[codecs.select_encoded(codecs.encode("xs", n), 150, n).alias(n.replace("-", "_")) for n in ENCODED])
+
+
+@query(LONG + "SELECT id, " + ", ".join(f"count(*) FILTER (x < 5000) AS {n.replace('-', '_')}, min(x) FILTER (x >= 5000) AS {n.replace('-', '_')}_value" for n in ENCODED) + " FROM p GROUP BY id")
+def encoded_lower_bound(spark, sf_dir):
+    bounds = supplier_lists(spark, sf_dir).select("id", *[codecs.lower_bound_encoded(codecs.encode("xs", n), 5000, n).alias(n.replace("-", "_")) for n in ENCODED])
+    return bounds.select("id", *[F.col(f"{n}.{f}").alias(n + end) for n in bounds.columns[1:] for f, end in (("position", ""), ("value", "_value"))])
+
+
 @query(LISTS + "SELECT id, len(ys) AS length, " + ", ".join(f"true AS {n.replace('-', '_')}" for n in sorted(codecs.CODECS)) + " FROM l")
 def codec_roundtrip(spark, sf_dir):
     lists = part_lists(spark, sf_dir)

@@ -194,10 +194,21 @@ def toy_kronecker(spark: SparkSession, scale: int, edges: int | None = None, see
 
 
 def _mixed(index: F.Column, seed: int, nodes: int) -> F.Column:
-    """A plain arithmetic hash below ``nodes``, the same in any SQL engine (all steps stay below 2^63)."""
-    x = (index * 1103515245 + (12345 + 7919 * seed)) % 2147483647
-    x = (x * 48271 + 11) % 2147483647
-    return (x * 69621 % 2147483647) % nodes
+    """A plain arithmetic hash below ``nodes``, the same in any SQL engine, for indices and ``nodes`` below 2^61.
+
+    All steps stay below 2^63: an index goes in as two digits of 31 bits, and more than 31 bits come out of two hashes,
+    whose linear steps on the digits are independent.
+    """
+    prime = 2147483647
+    low, high = index.bitwiseAND(prime), F.shiftrightunsigned(index, 31)
+
+    def digit(a: int, b: int) -> F.Column:
+        x = (low * a + high * b + (12345 + 7919 * seed)) % prime
+        x = (x * 48271 + 11) % prime
+        return x * 69621 % prime
+
+    out = digit(1103515245, 40692)
+    return (out if nodes <= prime else digit(40692, 1103515245) % (nodes // prime + 1) * prime + out) % nodes
 
 
 def uniform_random(spark: SparkSession, nodes: int, edges: int, undirected: bool = False, seed: int = 1) -> DataFrame:

@@ -28,16 +28,18 @@ def scan(frame: DataFrame, columns: list[str], op: str = "sum", exclusive: bool
     """
     act = REDUCTIONS[op]
     join = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}[op]
-    rows = frame.withColumn("scan_part", F.floor(F.col("position") / RANGE))
-    totals = rows.groupBy("scan_part").agg(*[act(c).alias(f"total_{c}") for c in columns])
-    before = Window.orderBy("scan_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("scan_part", *[act(f"total_{c}").over(before).alias(f"base_{c}") for c in columns])
-    within = Window.partitionBy("scan_part").orderBy("position").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    rows = rows.withColumns({f"own_{c}": act(c).over(within) for c in columns}).join(bases, "scan_part")
+    wide = "_" * max(map(len, frame.columns))
+    part, total, base, own = (x + wide for x in ("part", "total", "base", "own"))
+    rows = frame.withColumn(part, F.floor(F.col("position") / RANGE))
+    totals = rows.groupBy(part).agg(*[act(c).alias(total + c) for c in columns])
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(part, *[act(total + c).over(before).alias(base + c) for c in columns])
+    within = Window.partitionBy(part).orderBy("position").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    rows = rows.withColumns({own + c: act(c).over(within) for c in columns}).join(bases, part)
     out = {}
     for c in columns:
-        base, own = F.col(f"base_{c}"), F.col(f"own_{c}")
-        out[f"scan_{c}"] = F.coalesce(join(base, own), base, own, F.lit(identity))
+        x, y = F.col(base + c), F.col(own + c)
+        out[f"scan_{c}"] = F.coalesce(join(x, y), x, y, F.lit(identity))
     return rows.withColumns(out).select(*frame.columns, *out)
 
 
@@ -75,14 +77,12 @@ def bit_order(value: Column) -> Column:
 
 
 def partition_slots(frame: DataFrame, bins: int, key: str = "key") -> DataFrame:
-    """bin (key modulo ``bins``) and destination slot of each row in a stable partition by bin."""
+    """bin (key modulo ``bins``) and destination slot of each row in a stable partition by bin.
+
+    Slots are places in the order by bin and position, so rows are dealt by ranges of that order and not by bin.
+    """
     rows = frame.withColumn("bin", F.pmod(F.col(key), F.lit(bins)).cast("long"))
-    counts = rows.groupBy("bin").agg(F.count("*").alias("n"))
-    starts = counts.select("bin", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("bin_start"))
-    # At most ``bins`` rows.
-    rows = rows.join(F.broadcast(starts), "bin")
-    own = F.row_number().over(Window.partitionBy("bin").orderBy("position")) - 1
-    return rows.withColumn("slot", (F.col("bin_start") + own).cast("long")).drop("bin_start")
+    return sort_ranks(rows, ["bin", "position"]).withColumnRenamed("rank", "slot")
 
 
 def discontinuity(frame: DataFrame, value: str = "value") -> DataFrame:
@@ -90,14 +90,16 @@ def discontinuity(frame: DataFrame, value: str = "value") -> DataFrame:
 
     Ranges are flagged apart; the last value of the range before comes from a small table.
     """
-    rows = frame.withColumn("flag_part", F.floor(F.col("position") / RANGE))
-    last = rows.groupBy("flag_part").agg(F.max_by(value, "position").alias("edge"))
-    edges = last.select("flag_part", F.lag("edge").over(Window.orderBy("flag_part")).alias("edge"), F.lag("flag_part").over(Window.orderBy("flag_part")).isNull().alias("first_part"))
-    within = Window.partitionBy("flag_part").orderBy("position")
-    rows = rows.withColumns({"previous": F.lag(value).over(within), "first_row": F.row_number().over(within) == 1}).join(edges, "flag_part")
-    begins = F.col("first_row") & F.col("first_part")
-    previous = F.when(F.col("first_row"), F.col("edge")).otherwise(F.col("previous"))
-    return rows.withColumn("flag", F.when(begins | ~previous.eqNullSafe(F.col(value)), 1).otherwise(0)).select(*frame.columns, "flag")
+    wide = "_" * max(map(len, frame.columns))
+    part, edge, first, previous, begins = (x + wide for x in ("part", "edge", "first", "previous", "begins"))
+    rows = frame.withColumn(part, F.floor(F.col("position") / RANGE))
+    last = rows.groupBy(part).agg(F.max_by(value, "position").alias(edge))
+    edges = last.select(part, F.lag(edge).over(Window.orderBy(part)).alias(edge), F.lag(part).over(Window.orderBy(part)).isNull().alias(first))
+    within = Window.partitionBy(part).orderBy("position")
+    rows = rows.withColumns({previous: F.lag(value).over(within), begins: F.row_number().over(within) == 1}).join(edges, part)
+    before = F.when(F.col(begins), F.col(edge)).otherwise(F.col(previous))
+    changes = (F.col(begins) & F.col(first)) | ~before.eqNullSafe(F.col(value))
+    return rows.withColumn("flag", F.when(changes, 1).otherwise(0)).select(*frame.columns, "flag")
 
 
 def tree_sum(frames: list[DataFrame], column: str = "value") -> DataFrame:

@@ -214,3 +214,57 @@ def test_statistics_by_group(spark):
     frame = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 7.0), (None, 5.0), (None, 6.0), ("b", None)], "g string, x double")
     got = {r["g"]: (r["n"], r["min"], r["q1"], r["median"], r["q3"], r["max"]) for r in stats.statistics(frame, "x", ["g"]).collect()}
     assert got == {"a": (4, 1.0, 1.5, 2.5, 3.5, 4.0), "b": (1, 7.0, 7.0, 7.0, 7.0, 7.0), None: (2, 5.0, 5.0, 5.5, 6.0, 6.0)}
+
+
+@pytest.mark.parametrize("name", codecs.all_names())
+def test_codec_batches(spark, name):
+    rng, codec = np.random.default_rng(3), codecs.get(name)
+    lists = [[], [0], [2**32 - 1], [7] * 300, list(range(127)), list(range(128)), list(range(129)), []]
+    lists += [sorted(rng.integers(0, top, n).tolist()) for n in (3, 33, 256, 2049, 5000) for top in (10, 1 << 16, 1 << 32)]
+    raw, lengths = codec.encode_lists(np.concatenate(lists).astype(np.int64), np.array([len(x) for x in lists]))
+    data, ends = raw.tobytes(), np.cumsum(lengths).tolist()
+    for xs, blob in zip(lists, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True):
+        assert codec.encode(xs) == blob
+        for index in range(0, len(xs), 500):
+            assert codec.select(blob, index) == xs[index]
+        with pytest.raises(IndexError):
+            codec.select(blob, len(xs))
+        for key in (0, 8, 70000, 2**32 - 1):
+            at = int(np.searchsorted(np.array(xs, np.int64), key))
+            assert codec.lower_bound(blob, key) == (at, xs[at] if at < len(xs) else None)
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate([*lists, None])], "id int, xs array<long>")
+    coded = rows.select("xs", codecs.encode("xs", name).alias("a"), codecs.encode_marked("xs", name, 100).alias("b"))
+    back = coded.select("xs", codecs.decode("a", name).alias("a"), codecs.decode_marked("b", name).alias("b"), codecs.select_encoded("a", 2, name).alias("c"), codecs.lower_bound_encoded("a", 8, name).alias("d"))
+    for xs, a, b, c, d in back.collect():
+        assert a == b == xs
+        assert c == (xs[2] if xs and len(xs) > 2 else None)
+        assert d == (None if xs is None else (sum(x < 8 for x in xs), min((x for x in xs if x >= 8), default=None)))
+
+
+def test_packed_layouts():
+    # Every difference after the first is 1, so all blocks but the first need one bit.
+    words = np.frombuffer(codecs.get("bp32").encode(range(5, 133)), "<u4").tolist()
+    assert words[:2] == [128, 3 << 24 | 1 << 16 | 1 << 8 | 1] and words[5:] == [2**32 - 1] * 3
+    assert sum(w << 32 * k for k, w in enumerate(words[2:5])) == sum((1 if k else 5) << 3 * k for k in range(32))
+    words = np.frombuffer(codecs.get("s4-bp128-d1").encode(range(1, 129)), "<u4").tolist()
+    assert words == [128, 123456, 123456, 123456, 1 << 24, 0, 0, 0, *[2**32 - 1] * 4]
+    assert codecs.get("s4-bp128-dm").encode([1, 2]) == bytes(4) + (123456).to_bytes(4, "little") * 3 + bytes([0x81, 0x82, 0, 0])
+
+
+def test_wide_random_ids(spark):
+    far = spark.range(0, 1 << 50, 1 << 40).select(generators._mixed(F.col("id"), 1, 1 << 40).alias("x"))
+    xs = [r.x for r in far.collect()]
+    assert len(set(xs)) == len(xs) == 1024 and 0 <= min(xs) < 1 << 35 and (1 << 39) < max(xs) < 1 << 40
+
+
+def test_primitives_keep_columns(spark):
+    names = ["position", "key", "value", "scan_part", "flag_part", "previous", "edge", "bin_start", "own_value", "base_value"]
+    rows = [(k, k * 5 % 3, k // 2, *["x"] * 7) for k in range(9)]
+    frame = spark.createDataFrame(rows, names)
+    scanned = primitives.scan(frame, ["value"])
+    assert scanned.columns == [*names, "scan_value"] and [r["scan_value"] for r in scanned.orderBy("position").collect()] == np.cumsum([r[2] for r in rows]).tolist()
+    flags = primitives.discontinuity(frame)
+    assert flags.columns == [*names, "flag"] and [r["flag"] for r in flags.orderBy("position").collect()] == [1, 0] * 4 + [1]
+    slots = primitives.partition_slots(frame, 3)
+    assert [r["position"] for r in slots.orderBy("slot").collect()] == [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert slots.where("edge = 'x' AND bin_start = 'x'").count() == 9
